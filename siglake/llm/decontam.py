@@ -161,14 +161,20 @@ def leak_columns(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
         items.keep_rare({r["gram"] % (1 << 64): r["n"] for r in counts.collect()}, rare)  # a row for each n-gram of the block
         seeds = spark.sparkContext.broadcast(items)
 
-        @F.pandas_udf(FOUND)
-        def leaks(texts: pd.Series, seeds=seeds) -> pd.Series:
-            return pd.Series([[dict(zip(("item_id", "score", "first_word", "last_word"), x, strict=True)) for x in seeds.value.find(t, leak)] for t in texts])
-
-        out.append(leaks(F.col(quoted(text))))
+        out.append(_finder(seeds, leak)(F.col(quoted(text))))
     return out
 
 
+def _finder(seeds, leak: float):
+    names = ("item_id", "score", "first_word", "last_word")
+
+    @F.pandas_udf(FOUND)
+    def leaks(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(names, x, strict=True)) for x in seeds.value.find(t, leak)] for t in texts])
+
+    return leaks
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """A row for each document and item whose alignment reaches `leak`: doc_id, item_id, score, first_word, last_word.
 
