@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-V = F.col("v")
 
 
 def activate(x: Column, kind: str) -> Column:
@@ -35,17 +34,17 @@ def multiply(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     """Matrix times signal (any channels), as a join and a sum."""
     keys = [c for c in nodes.columns if c not in ("i", "v")]
     x = nodes.select(F.col("i").alias("j"), *keys, "v")
-    return matrix.join(x, "j").groupBy("i", *keys).agg(F.sum(F.col("w") * V).alias("v"))
+    return matrix.join(x, "j").groupBy("i", *keys).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
 
 
 def polynomial_filter(nodes: DataFrame, edges: DataFrame, coefficients: list[float], normalized: bool = True, activation: str = "linear") -> DataFrame:
     """Sum of c_k L^k x: one sparse product a power."""
     matrix = laplacian(nodes, edges, normalized)
     keys = [c for c in nodes.columns if c != "v"]
-    power, total = nodes, nodes.select(*keys, (V * coefficients[0]).alias("v"))
+    power, total = nodes, nodes.select(*keys, (F.col("v") * coefficients[0]).alias("v"))
     for c in coefficients[1:]:
         power = multiply(matrix, power)
-        total = total.unionByName(power.select(*keys, (V * c).alias("v")))
+        total = total.unionByName(power.select(*keys, (F.col("v") * c).alias("v")))
     return total.groupBy(*keys).agg(activate(F.sum("v"), activation).alias("v"))
 
 
@@ -62,7 +61,7 @@ def attention(nodes: DataFrame, edges: DataFrame, alpha: float = 1.0, self_loops
 
 
 def attention_filter(nodes: DataFrame, edges: DataFrame, alpha: float = 1.0, self_loops: bool = True, activation: str = "linear") -> DataFrame:
-    return multiply(attention(nodes, edges, alpha, self_loops), nodes).select("i", activate(V, activation).alias("v"))
+    return multiply(attention(nodes, edges, alpha, self_loops), nodes).select("i", activate(F.col("v"), activation).alias("v"))
 
 
 def message_passing(nodes: DataFrame, edges: DataFrame, self_weight: float = 1.0, neighbor_weight: float = 1.0, aggregation: str = "mean", activation: str = "linear", gate: Column | None = None) -> DataFrame:
@@ -71,7 +70,7 @@ def message_passing(nodes: DataFrame, edges: DataFrame, self_weight: float = 1.0
     x = nodes.select(F.col("i").alias("j"), *keys, F.col("v").alias("x"))
     sent = edges.where("w <> 0").join(x, "j").withColumn("m", neighbor_weight * (gate if gate is not None else F.lit(1.0)) * F.col("x"))
     got = sent.groupBy("i", *keys).agg((F.avg("m") if aggregation == "mean" else F.sum("m")).alias("m"))
-    return nodes.join(got, ["i", *keys], "left").select("i", *keys, activate(self_weight * V + F.coalesce("m", F.lit(0.0)), activation).alias("v"))
+    return nodes.join(got, ["i", *keys], "left").select("i", *keys, activate(self_weight * F.col("v") + F.coalesce("m", F.lit(0.0)), activation).alias("v"))
 
 
 def block_normalize(nodes: DataFrame, mode: str = "layernorm", gamma: float = 1.0, beta: float = 0.0, eps: float = 1e-5) -> DataFrame:
@@ -81,9 +80,9 @@ def block_normalize(nodes: DataFrame, mode: str = "layernorm", gamma: float = 1.
     by = Window.partitionBy(*([] if "ch" not in nodes.columns else ["i"] if mode in ("l2", "layernorm") else ["ch"]))
     keys = [c for c in nodes.columns if c != "v"]
     if mode == "l2":
-        x = V / F.greatest(F.sqrt(F.sum(V * V).over(by)), F.lit(eps))
+        x = F.col("v") / F.greatest(F.sqrt(F.sum(F.col("v") * F.col("v")).over(by)), F.lit(eps))
     else:
-        x = (V - F.avg("v").over(by)) / F.greatest(F.stddev_pop("v").over(by), F.lit(eps))
+        x = (F.col("v") - F.avg("v").over(by)) / F.greatest(F.stddev_pop("v").over(by), F.lit(eps))
     return nodes.select(*keys, (x * gamma + beta).alias("v"))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from siglake.errors import odd_window
 
-IMAGE = Window.partitionBy("img")
-V = F.col("v")
+
+def image() -> WindowSpec:
+    return Window.partitionBy("img")
 
 
 def gray(red: Column, green: Column, blue: Column) -> Column:
@@ -40,7 +42,7 @@ def closing(pixels: DataFrame, size: int = 3) -> DataFrame:
 
 def pair(a: DataFrame, b: DataFrame, value) -> DataFrame:
     other = b.select("img", "r", "c", F.col("v").alias("w"))
-    return a.join(other, ["img", "r", "c"]).select("img", "r", "c", value(V, F.col("w")).alias("v"))
+    return a.join(other, ["img", "r", "c"]).select("img", "r", "c", value(F.col("v"), F.col("w")).alias("v"))
 
 
 def gradient(pixels: DataFrame, size: int = 3) -> DataFrame:
@@ -50,7 +52,7 @@ def gradient(pixels: DataFrame, size: int = 3) -> DataFrame:
 def _near(pixels: DataFrame, size: int) -> DataFrame:
     """Every pixel with the values around it, edges repeated: a value goes to each place that it, or its repetition, stands near."""
     half = odd_window(size, "kernel_size") // 2
-    sized = pixels.select("img", "r", "c", "v", F.max("r").over(IMAGE).alias("rows"), F.max("c").over(IMAGE).alias("cols"))
+    sized = pixels.select("img", "r", "c", "v", F.max("r").over(image()).alias("rows"), F.max("c").over(image()).alias("cols"))
     reach = F.sequence(F.lit(-half), F.lit(half))
     offsets = sized.select("img", "r", "c", "rows", "cols", F.explode(reach).alias("dr")).select("*", F.explode(reach).alias("dc"))
     places = offsets.select("img", "r", "c", F.least(F.greatest(F.col("r") + F.col("dr"), F.lit(0)), "rows").alias("rr"), F.least(F.greatest(F.col("c") + F.col("dc"), F.lit(0)), "cols").alias("cc"))
@@ -75,19 +77,19 @@ def foreground(pixels: DataFrame, ground: DataFrame, mode: str = "dark") -> Data
 
 
 def reflections(pixels: DataFrame, percentile: float = 98.0) -> DataFrame:
-    return pixels.select("img", "r", "c", F.when(V >= F.percentile("v", F.lit(percentile / 100)).over(IMAGE), 1.0).otherwise(0.0).alias("v"))
+    return pixels.select("img", "r", "c", F.when(F.col("v") >= F.percentile("v", F.lit(percentile / 100)).over(image()), 1.0).otherwise(0.0).alias("v"))
 
 
 def shadows_specular(pixels: DataFrame, illumination: DataFrame, strength: float = 0.08, percentile: float = 99.0) -> DataFrame:
     """(img, r, c, shadow, specular) from the ratio of image and illumination."""
     ratio = pair(pixels, illumination, lambda a, b: a / F.greatest(b, F.lit(1e-9)))
-    shadow = 1 - V
-    return ratio.select("img", "r", "c", F.when(shadow >= strength, F.greatest(shadow, F.lit(0.0))).otherwise(0.0).alias("shadow"), F.greatest(V - F.percentile("v", F.lit(percentile / 100)).over(IMAGE), F.lit(0.0)).alias("specular"))
+    shadow = 1 - F.col("v")
+    return ratio.select("img", "r", "c", F.when(shadow >= strength, F.greatest(shadow, F.lit(0.0))).otherwise(0.0).alias("shadow"), F.greatest(F.col("v") - F.percentile("v", F.lit(percentile / 100)).over(image()), F.lit(0.0)).alias("specular"))
 
 
 def to_bytes(pixels: DataFrame) -> DataFrame:
-    low, high = F.min("v").over(IMAGE), F.max("v").over(IMAGE)
-    return pixels.select("img", "r", "c", F.when(high > low, F.rint(255 * (V - low) / (high - low))).otherwise(0.0).cast("int").alias("v"))
+    low, high = F.min("v").over(image()), F.max("v").over(image())
+    return pixels.select("img", "r", "c", F.when(high > low, F.rint(255 * (F.col("v") - low) / (high - low))).otherwise(0.0).cast("int").alias("v"))
 
 
 def otsu(pixels: DataFrame) -> DataFrame:
@@ -103,12 +105,12 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
 def ink(ground: DataFrame) -> DataFrame:
     """(img, r, c, ink, stroke) of a foreground, by its Otsu threshold."""
-    marked = to_bytes(ground).join(otsu(ground), "img").select("img", "r", "c", F.when(V >= F.col("threshold"), 1.0).otherwise(0.0).alias("ink"))
-    return ground.join(marked, ["img", "r", "c"]).select("img", "r", "c", "ink", (V * F.col("ink")).alias("stroke"))
+    marked = to_bytes(ground).join(otsu(ground), "img").select("img", "r", "c", F.when(F.col("v") >= F.col("threshold"), 1.0).otherwise(0.0).alias("ink"))
+    return ground.join(marked, ["img", "r", "c"]).select("img", "r", "c", "ink", (F.col("v") * F.col("ink")).alias("stroke"))
 
 
 def alpha(layer: DataFrame) -> DataFrame:
-    return layer.select("img", "r", "c", (F.abs(V) / F.greatest(F.max(F.abs(V)).over(IMAGE), F.lit(1e-9))).alias("v"))
+    return layer.select("img", "r", "c", (F.abs(F.col("v")) / F.greatest(F.max(F.abs(F.col("v"))).over(image()), F.lit(1e-9))).alias("v"))
 
 
 def layers(pixels: DataFrame, background_size: int = 15, smooth: int = 5, illumination_size: int = 31, denoise_size: int = 3, edge_size: int = 3, mode: str = "dark") -> DataFrame:

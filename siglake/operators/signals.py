@@ -10,12 +10,17 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from siglake.errors import SignalValueError, odd_window, positive_int
 
-WHOLE = Window.partitionBy("sid")
-ORDERED = Window.partitionBy("sid").orderBy("idx")
-V = F.col("v")
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("sid")
+
+
+def ordered() -> WindowSpec:
+    return Window.partitionBy("sid").orderBy("idx")
 
 
 def _with(samples: DataFrame, value: Column) -> DataFrame:
@@ -24,18 +29,18 @@ def _with(samples: DataFrame, value: Column) -> DataFrame:
 
 def normalize(samples: DataFrame) -> DataFrame:
     """By the largest magnitude."""
-    return _with(samples, V / F.greatest(F.max(F.abs(V)).over(WHOLE), F.lit(1e-12)))
+    return _with(samples, F.col("v") / F.greatest(F.max(F.abs(F.col("v"))).over(whole()), F.lit(1e-12)))
 
 
 def detrend(samples: DataFrame) -> DataFrame:
     """Less the mean; also the removal of a direct-current part."""
-    return _with(samples, V - F.avg(V).over(WHOLE))
+    return _with(samples, F.col("v") - F.avg(F.col("v")).over(whole()))
 
 
 def standardize(samples: DataFrame) -> DataFrame:
     """Zero mean and unit population deviation; zeros for a constant signal."""
-    spread = F.stddev_pop(V).over(WHOLE)
-    return _with(samples, F.when(spread > 0, (V - F.avg(V).over(WHOLE)) / spread).otherwise(0.0))
+    spread = F.stddev_pop(F.col("v")).over(whole())
+    return _with(samples, F.when(spread > 0, (F.col("v") - F.avg(F.col("v")).over(whole())) / spread).otherwise(0.0))
 
 
 def anomaly_score(samples: DataFrame) -> DataFrame:
@@ -44,15 +49,15 @@ def anomaly_score(samples: DataFrame) -> DataFrame:
 
 def onset_strength(samples: DataFrame) -> DataFrame:
     """Rise of the magnitude; the first is 0, a signal of one sample has none."""
-    rise = F.abs(V) - F.lag(F.abs(V)).over(ORDERED)
-    return samples.select("sid", "idx", F.greatest(F.coalesce(rise, F.lit(0.0)), F.lit(0.0)).alias("v"), F.count(F.lit(1)).over(WHOLE).alias("of")).where("of > 1").drop("of")
+    rise = F.abs(F.col("v")) - F.lag(F.abs(F.col("v"))).over(ordered())
+    return samples.select("sid", "idx", F.greatest(F.coalesce(rise, F.lit(0.0)), F.lit(0.0)).alias("v"), F.count(F.lit(1)).over(whole()).alias("of")).where("of > 1").drop("of")
 
 
 def derivative(samples: DataFrame, order: int = 1) -> DataFrame:
     """Differences of neighbours, `order` times; `order` samples shorter."""
     out = samples
     for _ in range(positive_int(order, "order")):
-        out = _with(out, F.lead("v").over(ORDERED) - V).where("v is not null")
+        out = _with(out, F.lead("v").over(ordered()) - F.col("v")).where("v is not null")
     return out
 
 
@@ -77,7 +82,7 @@ def frames(samples: DataFrame, size: int = 256, hop: int = 128, window: str = "r
     what is missing at the end is zero.
     """
     positive_int(size, "size"), positive_int(hop, "hop")
-    of = F.count(F.lit(1)).over(WHOLE)
+    of = F.count(F.lit(1)).over(whole())
     full = F.when(F.col("of") >= size, F.floor((F.col("of") - size) / hop) + 1).otherwise(0)
     last = (full - 1) * hop
     count = F.when((full == 0) | (last != F.greatest(F.col("of") - size, F.lit(0))), F.ceil(F.col("of") / hop)).otherwise(full) if pad_end else full
@@ -91,7 +96,7 @@ def frames(samples: DataFrame, size: int = 256, hop: int = 128, window: str = "r
         ends = counted.groupBy("sid").agg(F.max("of").alias("of"), F.max("count").alias("count")).where("count > 0").select("sid", "of", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("frame"))
         short = ends.withColumn("from", F.greatest(F.col("of") - F.col("frame") * hop, F.lit(0)).cast("int")).where(F.col("from") < size)
         out = out.unionByName(short.select("sid", "frame", F.explode(F.sequence(F.col("from"), F.lit(size - 1))).alias("n"), F.lit(0.0).alias("v")))
-    return out.select("sid", "frame", "n", (V * taper(F.col("n"), size, window)).alias("v"))
+    return out.select("sid", "frame", "n", (F.col("v") * taper(F.col("n"), size, window)).alias("v"))
 
 
 STATS = ("mean", "rms", "variance", "stddev", "median", "mad", "zero_crossing_rate", "peak_to_peak", "crest_factor", "energy", "waveform_length", "dynamic_range", "skewness", "kurtosis")
@@ -101,12 +106,12 @@ def statistics(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The fourteen statistics of a frame or a signal: one window for medians and neighbours, one aggregate."""
     group, line = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
     seen = rows.select(*keys, order, "v").withColumn("middle", F.percentile("v", F.lit(0.5)).over(group)).withColumn("m", F.avg("v").over(group)).withColumn("before", F.lag("v").over(line))
-    d = V - F.col("m")
-    crosses = ((F.col("before") >= 0) & (V < 0)) | ((F.col("before") < 0) & (V >= 0))
+    d = F.col("v") - F.col("m")
+    crosses = ((F.col("before") >= 0) & (F.col("v") < 0)) | ((F.col("before") < 0) & (F.col("v") >= 0))
     out = seen.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.sqrt(F.avg(V * V)).alias("rms"), F.avg(d * d).alias("variance"), F.first("middle").alias("median"),
-        F.percentile(F.abs(V - F.col("middle")), F.lit(0.5)).alias("mad"), F.sum(F.when(crosses, 1).otherwise(0)).alias("crossings"), (F.max("v") - F.min("v")).alias("peak_to_peak"),
-        F.max(F.abs("v")).alias("peak"), F.min(F.when(V != 0, F.abs("v"))).alias("low"), F.sum(V * V).alias("energy"), F.coalesce(F.sum(F.abs(V - F.col("before"))), F.lit(0.0)).alias("waveform_length"),
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"), F.avg(d * d).alias("variance"), F.first("middle").alias("median"),
+        F.percentile(F.abs(F.col("v") - F.col("middle")), F.lit(0.5)).alias("mad"), F.sum(F.when(crosses, 1).otherwise(0)).alias("crossings"), (F.max("v") - F.min("v")).alias("peak_to_peak"),
+        F.max(F.abs("v")).alias("peak"), F.min(F.when(F.col("v") != 0, F.abs("v"))).alias("low"), F.sum(F.col("v") * F.col("v")).alias("energy"), F.coalesce(F.sum(F.abs(F.col("v") - F.col("before"))), F.lit(0.0)).alias("waveform_length"),
         F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"),
     )
     spread = F.sqrt("variance")
@@ -123,21 +128,21 @@ def statistics(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def threshold_events(samples: DataFrame, threshold: float | None = None, z: float = 2.0) -> DataFrame:
     """events(sid, start, end, length): runs of magnitudes from the threshold on; without one, mean + z deviations."""
     if threshold is None:
-        high = samples.withColumn("t", F.avg(F.abs(V)).over(WHOLE) + z * F.stddev_pop(F.abs(V)).over(WHOLE)).where(F.abs(V) >= F.col("t"))
+        high = samples.withColumn("t", F.avg(F.abs(F.col("v"))).over(whole()) + z * F.stddev_pop(F.abs(F.col("v"))).over(whole())).where(F.abs(F.col("v")) >= F.col("t"))
     else:
-        high = samples.where(F.abs(V) >= threshold)
-    runs = high.withColumn("run", F.col("idx") - F.row_number().over(ORDERED))
+        high = samples.where(F.abs(F.col("v")) >= threshold)
+    runs = high.withColumn("run", F.col("idx") - F.row_number().over(ordered()))
     return runs.groupBy("sid", "run").agg(F.min("idx").alias("start"), F.max("idx").alias("end"), F.count(F.lit(1)).cast("int").alias("length")).drop("run")
 
 
 def adaptive_threshold(samples: DataFrame, z: float = 2.0) -> DataFrame:
-    return samples.groupBy("sid").agg((F.avg(F.abs(V)) + z * F.stddev_pop(F.abs(V))).alias("threshold"))
+    return samples.groupBy("sid").agg((F.avg(F.abs(F.col("v"))) + z * F.stddev_pop(F.abs(F.col("v")))).alias("threshold"))
 
 
 def local_peaks(samples: DataFrame, min_height: float = 0.0, min_distance: int = 1) -> DataFrame:
     """peaks(sid, idx, v): above the left, not below the right neighbour. Of peaks nearer than min_distance the first stays, unless the next is higher and takes its place."""
-    near = samples.withColumn("left", F.lag("v").over(ORDERED)).withColumn("right", F.lead("v").over(ORDERED))
-    found = near.where((V > F.col("left")) & (V >= F.col("right")) & (V >= min_height)).select("sid", "idx", "v")
+    near = samples.withColumn("left", F.lag("v").over(ordered())).withColumn("right", F.lead("v").over(ordered()))
+    found = near.where((F.col("v") > F.col("left")) & (F.col("v") >= F.col("right")) & (F.col("v") >= min_height)).select("sid", "idx", "v")
     if min_distance <= 1:
         return found
     listed = found.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("p"))
@@ -153,7 +158,7 @@ def local_peaks(samples: DataFrame, min_height: float = 0.0, min_distance: int =
 def moving_average(samples: DataFrame, size: int = 5) -> DataFrame:
     """Centred, with zeros outside the signal: always divided by the size."""
     positive_int(size, "size")
-    return _with(samples, F.sum("v").over(ORDERED.rowsBetween(-(size // 2), (size - 1) // 2)) / size)
+    return _with(samples, F.sum("v").over(ordered().rowsBetween(-(size // 2), (size - 1) // 2)) / size)
 
 
 def rank_filter(samples: DataFrame, size: int = 5, rank: int | None = None) -> DataFrame:
@@ -162,9 +167,9 @@ def rank_filter(samples: DataFrame, size: int = 5, rank: int | None = None) -> D
     rank = half if rank is None else rank
     if not 0 <= rank < size:
         raise SignalValueError("rank must lie within the window")
-    near = F.collect_list("v").over(ORDERED.rowsBetween(-half, half))
-    first, last = F.first("v").over(ORDERED.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("v").over(ORDERED.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    wide = samples.select("sid", "idx", near.alias("near"), first.alias("first"), last.alias("last"), F.count(F.lit(1)).over(WHOLE).alias("of"))
+    near = F.collect_list("v").over(ordered().rowsBetween(-half, half))
+    first, last = F.first("v").over(ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("v").over(ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    wide = samples.select("sid", "idx", near.alias("near"), first.alias("first"), last.alias("last"), F.count(F.lit(1)).over(whole()).alias("of"))
     before = F.greatest(F.lit(half) - F.col("idx"), F.lit(0)).cast("int")
     after = F.greatest(F.col("idx") + half - (F.col("of") - 1), F.lit(0)).cast("int")
     return wide.select("sid", "idx", F.get(F.sort_array(F.concat(F.array_repeat("first", before), "near", F.array_repeat("last", after))), F.lit(rank)).alias("v"))
@@ -177,12 +182,12 @@ def median_filter(samples: DataFrame, size: int = 5) -> DataFrame:
 
 def dilate(samples: DataFrame, size: int = 3) -> DataFrame:
     half = odd_window(size) // 2
-    return _with(samples, F.max("v").over(ORDERED.rowsBetween(-half, half)))
+    return _with(samples, F.max("v").over(ordered().rowsBetween(-half, half)))
 
 
 def erode(samples: DataFrame, size: int = 3) -> DataFrame:
     half = odd_window(size) // 2
-    return _with(samples, F.min("v").over(ORDERED.rowsBetween(-half, half)))
+    return _with(samples, F.min("v").over(ordered().rowsBetween(-half, half)))
 
 
 def opening(samples: DataFrame, size: int = 3) -> DataFrame:
@@ -195,7 +200,7 @@ def closing(samples: DataFrame, size: int = 3) -> DataFrame:
 
 def gradient(samples: DataFrame, size: int = 3) -> DataFrame:
     half = odd_window(size) // 2
-    near = ORDERED.rowsBetween(-half, half)
+    near = ordered().rowsBetween(-half, half)
     return _with(samples, F.max("v").over(near) - F.min("v").over(near))
 
 
@@ -204,11 +209,11 @@ def apply_fir(samples: DataFrame, taps: list[float]) -> DataFrame:
     if not taps:
         raise SignalValueError("a filter needs taps")
     k = len(taps)
-    of = F.count(F.lit(1)).over(WHOLE)
+    of = F.count(F.lit(1)).over(whole())
     start = F.floor((F.least("of", F.lit(k)) - 1) / 2).cast("int")
     spread = samples.withColumn("of", of).select("sid", "idx", "v", "of", F.posexplode(F.array(*[F.lit(float(t)) for t in taps])).alias("k", "tap"))
     at = (F.col("idx") + F.col("k") - start).cast("int")
-    placed = spread.select("sid", at.alias("idx"), (V * F.col("tap")).alias("v"), F.greatest("of", F.lit(k)).alias("to")).where("idx >= 0 and idx < to")
+    placed = spread.select("sid", at.alias("idx"), (F.col("v") * F.col("tap")).alias("v"), F.greatest("of", F.lit(k)).alias("to")).where("idx >= 0 and idx < to")
     return placed.groupBy("sid", "idx").agg(F.sum("v").alias("v"))
 
 
@@ -219,26 +224,26 @@ def decimate(samples: DataFrame, factor: int, taps: list[float]) -> DataFrame:
 def interpolate(samples: DataFrame, factor: int, taps: list[float]) -> DataFrame:
     """Zeros between samples, filtered, with the gain of the factor."""
     stuffed = samples.select("sid", F.posexplode(F.concat(F.array("v"), F.array_repeat(F.lit(0.0), factor - 1))).alias("k", "v"), "idx").select("sid", (F.col("idx") * factor + F.col("k")).alias("idx"), "v")
-    return _with(apply_fir(stuffed, taps), V * factor)
+    return _with(apply_fir(stuffed, taps), F.col("v") * factor)
 
 
 def haar_bank(samples: DataFrame) -> DataFrame:
     """(sid, band, idx, v): sums and differences of neighbours at every second sample."""
-    before = F.coalesce(F.lag("v").over(ORDERED), F.lit(0.0))
-    both = samples.select("sid", "idx", ((V + before) / math.sqrt(2)).alias("low"), ((V - before) / math.sqrt(2)).alias("high")).where("idx % 2 = 0")
+    before = F.coalesce(F.lag("v").over(ordered()), F.lit(0.0))
+    both = samples.select("sid", "idx", ((F.col("v") + before) / math.sqrt(2)).alias("low"), ((F.col("v") - before) / math.sqrt(2)).alias("high")).where("idx % 2 = 0")
     return both.select("sid", F.expr("stack(2, 'low', low, 'high', high) as (band, v)"), F.expr("idx div 2").cast("int").alias("idx")).select("sid", "band", "idx", "v")
 
 
 def amplitude_modulation(carrier: DataFrame, modulator: DataFrame) -> DataFrame:
     """Carrier times (1 + modulator), as long as the shorter."""
     m = modulator.select("sid", "idx", F.col("v").alias("m"))
-    return carrier.join(m, ["sid", "idx"]).select("sid", "idx", (V * (1 + F.col("m"))).alias("v"))
+    return carrier.join(m, ["sid", "idx"]).select("sid", "idx", (F.col("v") * (1 + F.col("m"))).alias("v"))
 
 
 def frequency_modulation(modulator: DataFrame, carrier_hz: float, sample_rate: float, index: float = 1.0) -> DataFrame:
     """Sine of the running phase."""
-    step = 2 * math.pi * (carrier_hz + index * V) / sample_rate
-    return _with(modulator, F.sin(F.pmod(F.sum(step).over(ORDERED.rowsBetween(Window.unboundedPreceding, 0)), F.lit(2 * math.pi))))
+    step = 2 * math.pi * (carrier_hz + index * F.col("v")) / sample_rate
+    return _with(modulator, F.sin(F.pmod(F.sum(step).over(ordered().rowsBetween(Window.unboundedPreceding, 0)), F.lit(2 * math.pi))))
 
 
 def autocorrelation(samples: DataFrame, max_lag: int, normalized: bool = True) -> DataFrame:
@@ -246,10 +251,10 @@ def autocorrelation(samples: DataFrame, max_lag: int, normalized: bool = True) -
     centred = detrend(samples)
     later = centred.select("sid", F.col("idx").alias("at"), F.col("v").alias("w"))
     lagged = centred.select("sid", "idx", "v", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")).withColumn("at", F.col("idx") + F.col("lag"))
-    sums = lagged.join(later, ["sid", "at"]).groupBy("sid", "lag").agg(F.sum(V * F.col("w")).alias("r"))
+    sums = lagged.join(later, ["sid", "at"]).groupBy("sid", "lag").agg(F.sum(F.col("v") * F.col("w")).alias("r"))
     if not normalized:
         return sums
-    zero = F.max(F.when(F.col("lag") == 0, F.col("r"))).over(WHOLE)
+    zero = F.max(F.when(F.col("lag") == 0, F.col("r"))).over(whole())
     return sums.select("sid", "lag", F.when(F.abs(zero) > 1e-12, F.col("r") / zero).otherwise(F.col("r")).alias("r"))
 
 
@@ -266,7 +271,7 @@ def dft(samples: DataFrame, size: int, bins: int | None = None) -> DataFrame:
     turn = -2 * math.pi / size
     spread = samples.select("sid", "idx", "v", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     angle = turn * ((F.col("bin") * F.col("idx")) % size)
-    sums = spread.groupBy("sid", "bin").agg(F.sum(V * F.cos(angle)).alias("re"), F.sum(V * F.sin(angle)).alias("im"))
+    sums = spread.groupBy("sid", "bin").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
     return sums.withColumn("magnitude", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
 
 
@@ -281,7 +286,7 @@ def spectral_descriptors(spectrum: DataFrame, size: int, sample_rate: float, rol
     f, m = F.col("f"), F.col("magnitude")
     line = Window.partitionBy("sid").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     seen = spectrum.withColumn("f", F.col("bin") * F.lit(float(sample_rate)) / size).withColumn("p", m * m)
-    seen = seen.withColumn("total", F.sum("p").over(WHOLE)).withColumn("run", F.sum("p").over(line)).withColumn("c", F.coalesce(F.sum(f * m).over(WHOLE) / F.nullif(F.sum(m).over(WHOLE), F.lit(0.0)), F.lit(0.0)))
+    seen = seen.withColumn("total", F.sum("p").over(whole())).withColumn("run", F.sum("p").over(line)).withColumn("c", F.coalesce(F.sum(f * m).over(whole()) / F.nullif(F.sum(m).over(whole()), F.lit(0.0)), F.lit(0.0)))
     rest = f - F.col("c")
     return seen.groupBy("sid").agg(
         F.sum("p").alias("energy"), F.coalesce(F.exp(F.avg(F.when(m > 0, F.log(m)))) / F.avg(F.when(m > 0, m)), F.lit(0.0)).alias("flatness"), F.first("c").alias("centroid"),
@@ -293,7 +298,7 @@ def spectral_descriptors(spectrum: DataFrame, size: int, sample_rate: float, rol
 def timeline(samples: DataFrame, size: int) -> DataFrame:
     """(sid, block, energy, mean, peak) of tumbling blocks of `size` samples; a partial one at the end is left out."""
     blocks = samples.withColumn("block", F.expr(f"idx div {positive_int(size, 'size')}").cast("int"))
-    return blocks.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(V * V).alias("energy"), F.avg("v").alias("mean"), F.max(F.abs("v")).alias("peak")).where(F.col("n") == size).drop("n")
+    return blocks.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") * F.col("v")).alias("energy"), F.avg("v").alias("mean"), F.max(F.abs("v")).alias("peak")).where(F.col("n") == size).drop("n")
 
 
 def timeline_summary(blocks: DataFrame) -> DataFrame:
