@@ -85,7 +85,6 @@ def unscented_kalman(z, f, h, x0, p0, q, r, **shape):
         s = np.array([np.atleast_1d(f(k)) for k in s])
         x = wm @ s
         p = (s - x).T @ np.diag(wc) @ (s - x) + q
-        s, wm, wc = sigma_points(x, p, **shape)
         y = np.array([np.atleast_1d(h(k)) for k in s])
         m = wm @ y
         k = (s - x).T @ np.diag(wc) @ (y - m) @ np.linalg.inv((y - m).T @ np.diag(wc) @ (y - m) + r)
@@ -96,7 +95,7 @@ def unscented_kalman(z, f, h, x0, p0, q, r, **shape):
     return np.array(xs), np.array(ps)
 
 
-def particles(z, move, likelihood, start, seed: int = 42):
+def particles(z, move, likelihood, start, seed: int | np.random.Generator = 42):
     """(estimates, particles, weights): bootstrap, drawn anew in every step. move(particles, rng), likelihood(v, particles)."""
     rng, now, out = np.random.default_rng(seed), np.asarray(start, dtype=float).copy(), []
     w = np.full(len(now), 1 / max(len(now), 1))
@@ -111,12 +110,13 @@ def particles(z, move, likelihood, start, seed: int = 42):
 
 def particle_filter(z, count: int = 100, process: float = 0.1, measurement: float = 0.2, start=None, seed: int = 42):
     z = np.asarray(z, dtype=float)
+    rng = np.random.default_rng(seed)  # the same generator draws the start and all that follows
     if start is None:
-        start = np.random.default_rng(seed).normal(z[0] if len(z) else 0.0, measurement, positive_int(count, "num_particles"))
+        start = rng.normal(z[0] if len(z) else 0.0, measurement, positive_int(count, "num_particles"))
     start = np.asarray(start, dtype=float)
     if start.ndim != 1:
         raise SignalValueError("particles of a scalar state are one-dimensional")
-    return particles(z, lambda p, rng: p + rng.normal(0, process, len(p)), lambda v, p: np.exp(-0.5 * ((v - p) / measurement) ** 2), start, seed)
+    return particles(z, lambda p, rng: p + rng.normal(0, process, len(p)), lambda v, p: np.exp(-0.5 * ((v - p) / measurement) ** 2), start, rng)
 
 
 def backward_smoother(x, alpha: float = 0.3) -> np.ndarray:
