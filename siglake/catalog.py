@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siglake.functions import complex_tf, filters, graph_nets
-from siglake.operators import bits, graphs, images, signals, vectors
+from siglake.operators import bits, graphs, images, signals, vectors, volumes
 from siglake.plans import report
 from siglake.sources import tables
 from siglake.sources.files import signed
@@ -427,6 +427,49 @@ def image_layers(spark, d):
     return images.layers(P(spark, d), 5, 3, 5)
 
 
+def _voxels(spark, d):
+    px = E(spark, d)
+    return px.select(F.col("sid").alias("img"), F.expr("idx div 16").cast("int").alias("z"), F.expr("idx div 4 % 4").cast("int").alias("r"), (F.col("idx") % 4).alias("c"), "v")
+
+
+_VOXELS = "vx as (select sid as img, idx // 16 as z, idx // 4 % 4 as r, idx % 4 as c, v from emb)"
+_CROSS = [[[0, 0, 0], [0, 1, 0], [0, 0, 0]], [[0, 1, 0], [1, 1, 1], [0, 1, 0]], [[0, 0, 0], [0, 1, 0], [0, 0, 0]]]
+VX = "img:l z:l r:l c:l v:d"
+
+
+def _vx(f: str, of: str, cells: str) -> str:
+    return f"select s.img, s.z, s.r, s.c, {f}(t.v) as v from {of} s, (values {cells}) o(dz, dr, dc), {of} t where t.img = s.img and t.z = least(greatest(s.z + dz, 0), 3) and t.r = least(greatest(s.r + dr, 0), 3) and t.c = least(greatest(s.c + dc, 0), 3) group by 1, 2, 3, 4"
+
+
+_CUBE = ", ".join(f"({z}, {r}, {c})" for z in (-1, 0, 1) for r in (-1, 0, 1) for c in (-1, 0, 1))
+_PLUS = ", ".join(str(o) for o in volumes.offsets_of(_CROSS))
+
+
+@query(VX, f"with {_VOXELS}, a as ({_vx('min', 'vx', _CUBE)}) {_vx('max', 'a', _CUBE)}", "emb")
+def volume_opening(spark, d):
+    return volumes.opening(_voxels(spark, d))
+
+
+@query(VX, f"with {_VOXELS}, a as ({_vx('max', 'vx', _CUBE)}) {_vx('min', 'a', _CUBE)}", "emb")
+def volume_closing(spark, d):
+    return volumes.closing(_voxels(spark, d))
+
+
+@query(VX, f"with {_VOXELS}, a as ({_vx('max', 'vx', _CUBE)}), b as ({_vx('min', 'vx', _CUBE)}) select img, z, r, c, a.v - b.v as v from a join b using (img, z, r, c)", "emb")
+def volume_gradient(spark, d):
+    return volumes.gradient(_voxels(spark, d))
+
+
+@query(VX, f"with {_VOXELS} {_vx('median', 'vx', _CUBE)}", "emb")
+def volume_median(spark, d):
+    return volumes.median(_voxels(spark, d))
+
+
+@query(VX, f"with {_VOXELS}, a as ({_vx('min', 'vx', _PLUS)}) {_vx('max', 'a', _PLUS)}", "emb")
+def volume_kernel_opening(spark, d):
+    return volumes.opening_kernel(_voxels(spark, d), _CROSS)
+
+
 @query("tid:l path:s k:l v:d", "select sid as tid, 'l' as path, idx // 2 as k, v from (select sid, idx, (lead(v) {w} + v) / sqrt(2) as v0, (v + coalesce(lag(v) {w}, 0)) * 0.7071067811865476 as v from emb) where idx % 2 = 0 union all select sid, 'h', idx // 2, v from (select sid, idx, (v - coalesce(lag(v) {w}, 0)) * 0.7071067811865476 as v from emb) where idx % 2 = 0".replace("{w}", W), "emb")
 def wavelet_haar_1d(spark, d):
     t = tables.embedding_signals(spark, d).select(F.col("sid").alias("tid"), F.array(F.lit(64)).alias("shape"), F.col("samples").alias("data"))
