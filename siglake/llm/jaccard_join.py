@@ -48,31 +48,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """Words to 64-bit hashes, filled as they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Distinct word n-grams of texts as sorted hashes. A text of fewer words is one n-gram, one without words has none."""
 
     def __init__(self, n: int):
-        self.n, self.cache = n, {}
+        self.n, self.cache = n, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        cache = self.cache
-        if len(cache) > 500_000:
-            cache.clear()
-        hashes = []
-        for w in words:
-            h = cache.get(w)
-            if h is None:
-                h = cache[w] = xxhash.xxh64_intdigest(w)
-            hashes.append(h)
-        h = np.array(hashes, dtype=np.uint64)
+        if len(self.cache) > 500_000:
+            self.cache.clear()
+        h = np.fromiter(map(self.cache.__getitem__, words), dtype=np.uint64, count=len(words))
         k = min(self.n, len(h))
         out = np.full(len(h) - k + 1, k, dtype=np.uint64)
         for j in range(k):
             out = _mix(out ^ h[j : j + len(out)]) + np.uint64(j)
-        return np.unique(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def set_hash(tokens: np.ndarray) -> int:
