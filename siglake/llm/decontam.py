@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siglake.llm.common import quoted, text_bytes
@@ -28,7 +28,7 @@ from siglake.llm.common import quoted, text_bytes
 GRAM, LEAK, RARE, BLOCK_BYTES = 3, 0.5, 20, 16 << 20
 _PUNCTUATION = bytes(32 if (c < 128 and not chr(c).isalnum()) else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-FOUND = "array<struct<item_id:long,score:double,first_word:int,last_word:int>>"
+FOUND = "doc_id string, item_id long, score double, first_word int, last_word int"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -141,8 +141,8 @@ def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
         yield [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).sort("item_id", "text").collect()]
 
 
-def leak_columns(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = GRAM, leak: float = LEAK, rare: int = RARE) -> list[Column]:
-    """For each block of items, a column of what a document's text leaks: array of (item_id, score, first_word, last_word)."""
+def seed_items(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = GRAM, rare: int = RARE) -> list:
+    """For each block of items, a broadcast of them with their rare n-grams, counted over all documents."""
     spark = docs.sparkSession
     out = []
     for block in item_blocks(benchmark, item, item_text):
@@ -159,34 +159,33 @@ def leak_columns(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
 
         counts = docs.select(F.col(quoted(text)).alias("text")).mapInPandas(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         items.keep_rare({r["gram"] % (1 << 64): r["n"] for r in counts.collect()}, rare)  # a row for each n-gram of the block
-        seeds = spark.sparkContext.broadcast(items)
-
-        out.append(_finder(seeds, leak)(F.col(quoted(text))))
+        out.append(spark.sparkContext.broadcast(items))
     return out
 
 
-def _finder(seeds, leak: float):
-    names = ("item_id", "score", "first_word", "last_word")
-
-    @F.pandas_udf(FOUND)
-    def leaks(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, x, strict=True)) for x in seeds.value.find(t, leak)] for t in texts])
-
-    return leaks
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", leak: float = LEAK, **options) -> DataFrame:
     """A row for each document and item whose alignment reaches `leak`: doc_id, item_id, score, first_word, last_word.
 
     Nulls: a null text leaks nothing; null ids are kept. Repeated documents are reported each;
     items with one text are reported each. Very long texts are searched whole. An empty table
     on either side gives an empty result. Other columns of docs, of any name, aren't returned.
     """
-    found = docs.select(F.col(quoted(key)).alias("doc_id"), F.concat(*leak_columns(docs, benchmark, **options)).alias("found"))
-    return found.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
+    blocks = seed_items(docs, benchmark, text=text, **options)
 
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, *x) for i, t in zip(b["doc_id"], b["text"], strict=True) for items in blocks for x in items.value.find(t, leak)]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    return docs.select(F.col(quoted(key)).cast("string").alias("doc_id"), F.col(quoted(text)).alias("text")).mapInPandas(found, FOUND).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", leak: float = LEAK, **options) -> DataFrame:
     """The rows of docs that leak no test item, with their columns as they were."""
-    columns = leak_columns(docs, benchmark, **options)
-    return docs.where(F.size(F.concat(*columns)) == 0)
+    blocks = seed_items(docs, benchmark, text=text, **options)
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not any(items.value.find(t, leak) for items in blocks) for t in texts], dtype=bool)
+
+    return docs.where(clean(F.col(quoted(text))))
