@@ -78,11 +78,14 @@ class Items:
         return g[self.keys[np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)] == g]
 
     def keep_rare(self, documents: dict[int, int], rare: int = RARE) -> None:
+        if not len(self.keys):
+            return
         counts = np.array([documents.get(int(k), 0) for k in self.keys])
-        keep = np.zeros(len(counts), dtype=bool)
-        for i in range(len(self.items)):
-            own = self.owner == i
-            keep |= own & (counts <= max(rare, 2 * float(np.median(counts[own]))))
+        ranked = counts[np.lexsort((counts, self.owner))]
+        size = np.bincount(self.owner, minlength=len(self.items))
+        first = np.cumsum(size) - size
+        median = (ranked[first + (size - 1) // 2] + ranked[first + size // 2]) / 2
+        keep = counts <= np.maximum(rare, 2 * median)[self.owner]
         self.keys, self.owner, self.place = self.keys[keep], self.owner[keep], self.place[keep]
 
     def find(self, text: str | None, leak: float) -> list[tuple[int, float, int, int]]:

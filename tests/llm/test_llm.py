@@ -169,6 +169,31 @@ def test_decontamination(spark):
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_seeds_stay_where_they_are_rare_for_their_item():
+    rng = np.random.default_rng(2)
+    items = decontam.Items([(i, " ".join(f"w{w}" for w in rng.integers(0, 300, rng.integers(1, 40)))) for i in range(60)])
+    keys, owner = items.keys.copy(), items.owner.copy()
+    documents = {int(k): int(rng.integers(0, 90)) for k in keys}
+    counts = np.array([documents[int(k)] for k in keys])
+    want = [j for j in range(len(keys)) if counts[j] <= max(20, 2 * np.median(counts[owner == owner[j]]))]
+    items.keep_rare(documents)
+    assert 0 < len(want) < len(keys) and items.keys.tolist() == keys[want].tolist() and items.owner.tolist() == owner[want].tolist()
+    decontam.Items([]).keep_rare({})
+
+
+def test_decontamination_against_alignment_of_every_pair(spark):
+    docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    want = {}
+    for item in bench.collect():
+        block = decontam.Items([(item["item_id"], item["text"])])
+        for d in docs.collect():
+            score = decontam.align(block.items[0][1], block.ids(d["text"]))[0] / (2 * len(block.items[0][1]))
+            if score >= decontam.LEAK:
+                want[d["doc_id"], item["item_id"]] = score
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in queries.op4_decontamination(spark, SF).collect()}
+    assert want and got == want
+
+
 def test_exchange_parts_what_never_meets():
     m = np.zeros((8, 8))
     for a, b in ((0, 1), (2, 3)):
