@@ -74,6 +74,21 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+#: Bytes of text that go to a Python worker at once, where the session names no number.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes for this session: a worker holds a batch's texts and all that it makes of them.
+
+    Spark's own bound counts rows first, and 10,000 long texts can be gigabytes. It is read when
+    a plan runs, so it stays set; a session that has its own keeps it.
+    """
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siglake.llm.common import quoted, release, written
+from siglake.llm.common import bound_batches, quoted, release, written
 from siglake.llm.components import connected_components
 
 #: Growth of size levels; documents of a block; share of documents sampled for common tokens, how often they must be seen there, how many are kept.
@@ -291,6 +291,7 @@ def link_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
     read whole. An empty table gives an empty result. Other columns aren't returned.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siglake.llm import brown, decontam, html_text, jaccard_join, language, minhash_order, mixing, quality, queries, sharding, urls
-from siglake.llm.common import held_out, table
+from siglake.llm.common import bound_batches, held_out, table
 from siglake.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -223,6 +223,21 @@ def test_language_model(spark):
     assert brown.score_texts(odd(spark, True), F.lit(False)).count() == 0
 
 
+def test_batches_are_bounded_unless_the_session_has_its_own_bound(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "123456")
+        bound_batches(spark)
+        assert spark.conf.get(key) == "123456"
+        spark.conf.unset(key)
+        bound_batches(spark)
+        assert int(spark.conf.get(key)) == 4 << 20
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
+
+
 def classes(texts, n, num):
     sets = {}
     for i, t in texts.items():
