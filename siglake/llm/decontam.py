@@ -5,6 +5,8 @@ are counted over all documents; an item's seeds are those that are rare for it (
 documents than twice the item's median n-gram, or in RARE at most), so that an item that many
 documents copy keeps its seeds. Where a document holds a seed, the words around it, by the
 seed's diagonal, are aligned with the item: +2 for a match, -1 for a mismatch, -1 for a gap.
+The other n-grams, which many edited copies may hold, lead to an alignment too, unless too few
+words of the item are near for the score to be reached: that bound loses nothing.
 The score is the best local alignment over that of the item with itself: 1 for a copy, less
 for one that is edited or cut.
 
@@ -49,6 +51,20 @@ def _grams(ids: np.ndarray, n: int) -> np.ndarray:
     return np.where(known, out | np.uint64(1), np.uint64(0))
 
 
+def _ranges(first: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the range and place, for all places of ranges."""
+    of = np.repeat(np.arange(len(first)), width)
+    return of, np.arange(len(of)) - (np.cumsum(width) - width - first)[of]
+
+
+def _hits(at: np.ndarray, grams: np.ndarray, keys: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items that the n-grams at words belong to, and the words where they would begin."""
+    low, high = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
+    hit = np.flatnonzero(high > low)
+    of, entry = _ranges(low[hit], high[hit] - low[hit])
+    return owner[entry], at[hit][of] - place[entry]
+
+
 class Items:
     """A block of test items with the n-grams to look for. Items of fewer words than a seed can't be told from chance and are left out."""
 
@@ -65,6 +81,12 @@ class Items:
         self.keys = np.array([r[0] for r in rows], dtype=np.uint64)
         self.owner = np.array([r[1] for r in rows], dtype=np.int64)
         self.place = np.array([r[2] for r in rows], dtype=np.int64)
+        self.common = self.keys[:0], self.owner[:0], self.place[:0]
+        bags = [np.unique(ids, return_counts=True) for _, ids in self.items]
+        self.size = np.array([len(ids) for _, ids in self.items], dtype=np.int64)
+        self.bag = np.concatenate([[0], np.cumsum([len(w) for w, _ in bags], dtype=np.int64)])
+        self.bag_word = np.concatenate([w for w, _ in bags] or [np.zeros(0, dtype=np.int64)])
+        self.bag_times = np.concatenate([n for _, n in bags] or [np.zeros(0, dtype=np.int64)])
 
     def ids(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -86,32 +108,45 @@ class Items:
         first = np.cumsum(size) - size
         median = (ranked[first + (size - 1) // 2] + ranked[first + size // 2]) / 2
         keep = counts <= np.maximum(rare, 2 * median)[self.owner]
+        self.common = self.keys[~keep], self.owner[~keep], self.place[~keep]
         self.keys, self.owner, self.place = self.keys[keep], self.owner[keep], self.place[keep]
 
+    def possible(self, items: np.ndarray, ids: np.ndarray, leak: float) -> np.ndarray:
+        """Whether words have enough of an item's words to reach leak: a match scores 2 of 2 for each word of the item, all else less than 0."""
+        known, times = np.unique(ids[ids > 0], return_counts=True)
+        width = self.bag[items + 1] - self.bag[items]
+        of, entry = _ranges(self.bag[items], width)
+        at = np.minimum(np.searchsorted(known, self.bag_word[entry]), len(known) - 1)
+        shared = np.where(known[at] == self.bag_word[entry], np.minimum(times[at], self.bag_times[entry]), 0)
+        return np.bincount(of, weights=shared, minlength=len(items)) >= leak * self.size[items] - 1e-9
+
     def find(self, text: str | None, leak: float) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, last word) of the best alignment with each item that reaches leak."""
-        if not len(self.keys):
+        if not len(self.keys) and not len(self.common[0]):
             return []
         ids = self.ids(text)
         g = _grams(ids, self.gram)
         at = np.flatnonzero(g)
-        low = np.searchsorted(self.keys, g[at], "left")
-        high = np.searchsorted(self.keys, g[at], "right")
-        hit = np.flatnonzero(high > low)
-        if not len(hit):
-            return []
-        width = high[hit] - low[hit]
-        entry = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-        p = np.repeat(at[hit], width)
-        owner, start = self.owner[entry], p - self.place[entry]
+        (owner, start), (other, begin) = (_hits(at, g[at], *x) for x in ((self.keys, self.owner, self.place), self.common))
+        if len(other):
+            items = np.unique(other)
+            fits = np.isin(items, owner)
+            fits[~fits] = self.possible(items[~fits], ids, leak)
+            kept = fits[np.searchsorted(items, other)]
+            owner, start, rare = np.concatenate([owner, other[kept]]), np.concatenate([start, begin[kept]]), np.arange(len(owner) + kept.sum()) < len(owner)
+        else:
+            rare = np.ones(len(owner), dtype=bool)
         out = []
         for i in np.unique(owner):
             item_id, item = self.items[i]
             slack = max(4, len(item) // 2)
             starts = np.unique(start[owner == i])
+            sure = np.unique(start[(owner == i) & rare])
             best = (0.0, 0, 0)
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > slack) + 1):
                 a, b = max(0, int(run[0]) - slack), min(len(ids), int(run[-1]) + len(item) + slack)
+                if np.searchsorted(sure, run[0]) == np.searchsorted(sure, run[-1], "right") and not self.possible(np.array([i]), ids[a:b], leak)[0]:
+                    continue
                 score, last = align(item, ids[a:b])
                 if score / (2 * len(item)) > best[0]:
                     back, first = align(item[::-1], ids[a : a + last + 1][::-1])
