@@ -5,11 +5,12 @@ text with their path. Over the pages of a host, each token's occurrence vector (
 stands in each page) is folded into one number, an exclusive or of hashes of (page, count),
 which partial aggregates combine on the map side: no group of pages is ever gathered. Tokens
 of a host with the same vector form an equivalence class. A class is valid if its pages are a
-given share of the host's and it has several tokens; valid classes nest by their paths and
-make up the template of the host, whose size that share bounds. What stands between template
-tokens are slots. Of the slots, those in menus, forms, notices and the like go. If the template
-has an article or main element, all its other slots are the main text; else text that is itself
-a template token goes too, and the part of the page with the densest text is taken.
+given share of the host's and it has several tokens; the tokens of all valid classes make up
+the template of the host, whose size that share bounds. (A token's path is part of it; classes
+aren't nested in each other.) What stands between template tokens are slots: text that is a
+template token goes. Of the slots, those in menus, forms, notices and the like go. If the page
+has an article or main element, by the template or else by its name, all its other slots are
+the main text; else the part of the page with the densest text is taken.
 """
 
 from __future__ import annotations
@@ -200,12 +201,13 @@ def main_text(page: str, template: set) -> list[str]:
     """The blocks of the article, in page order. template: hashes of the host's template tokens."""
     _, blocks = parse(page)
     slots = [b for b in blocks if token_hash(b.path, b.text) not in template]
+    free = {id(b) for b in slots}
 
     def below(pick, checked: bool) -> list[_Block]:
         """Blocks under the element that pick names, the one with the most text if there are several.
 
-        checked: the element's tag must be a template token. Whole slots count, with lines that
-        articles of a host share.
+        checked: the element's tag must be a template token. Only slots are taken; where there
+        are none (pages that are copies of each other), all blocks.
         """
         size: Counter = Counter()
         roots = {}
@@ -216,7 +218,10 @@ def main_text(page: str, template: set) -> list[str]:
             if i is not None and not _is_outside(b.stack[:i], False) and not _is_outside(b.stack[i + 1 :], True):
                 size[b.stack[i][3]] += len(b.text) - b.linked
                 roots.setdefault(b.stack[i][3], []).append(b)
-        return roots[size.most_common(1)[0][0]] if size else []
+        if not size:
+            return []
+        found = roots[size.most_common(1)[0][0]]
+        return [b for b in found if id(b) in free] or found
 
     for checked in (True, False):
         for pick in (lambda x: x[0] == "article", lambda x: x[0] == "main" or x[2] == "main"):

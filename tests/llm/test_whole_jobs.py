@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from siglake.llm import decontam
+from siglake.llm import decontam, html_text
 
 
 def test_edited_copies_leak_however_many_there_are(spark):
@@ -33,3 +33,10 @@ def test_common_seeds_lead_to_every_alignment_that_all_seeds_give():
     assert 0 < len(trimmed.keys) < len(everything.keys)
     for t in texts:
         assert trimmed.find(t, 0.5) == everything.find(t, 0.5)
+
+
+def test_template_text_in_an_article_is_no_main_text(spark):
+    body = "<html><body><div>menu</div><{0}><h1>Title {1}</h1><div><p>Buy our new plan today</div><p>Story {1} begins</p><p>and ends {1}</p></{0}></body></html>"
+    pages = spark.createDataFrame([(i, f"http://{e}.com/{i}", body.format(e, i)) for e in ("article", "main") for i in range(8)], "page_id long, url string, html string")
+    got = html_text.extract_text(pages).collect()
+    assert len(got) == 16 and all(r["text"] == "Title {0}\nStory {0} begins\nand ends {0}".format(r["page_id"]) for r in got)
