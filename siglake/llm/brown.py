@@ -5,10 +5,10 @@ P(word | before) = P(class | class before) * P(word | class). Four passes over w
 1. The most frequent words: counters of each partition, summed.
 2. Bigrams among them over all training documents; exchange clustering on the driver (its
    matrix is bounded by the number of such words) moves words between classes while the
-   mutual information of adjacent classes grows. The classes are then exchanged into a few
-   coarse groups in the same way.
+   mutual information of adjacent classes grows. Each class has a twin, its group, for other
+   words (fewer groups, into which the classes are exchanged in the same way, can be asked for).
 3. For blocks of documents, every distinct word with its training count and the groups of its
-   neighbours. By word, a window sums these over blocks; a word outside the frequent ones goes
+   neighbours. By word, these are summed over blocks, from sorted rows; a word outside the frequent ones goes
    to the group that its neighbours favour, one exchange step with the rest held fixed.
 4. Each block meets the counts and classes of its own words (words reach a block once, not
    once a token) and is turned into sums of logarithms and class transitions.
@@ -30,13 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siglake.llm.common import quoted, written
 
-#: Frequent words that are clustered, classes for them, coarse groups for the other words, documents of a block.
-FREQUENT, CLASSES, GROUPS, BLOCK = 600, 40, 6, 6_000
+#: Frequent words that are clustered, classes for them, groups for the other words (one for each class), documents of a block.
+FREQUENT, CLASSES, GROUPS, BLOCK = 600, 40, 40, 6_000
 DISCOUNT, MIX = 0.5, 20.0
 _LOCAL, _PRUNE = 4_000, 400_000
 
@@ -148,14 +148,14 @@ def _bigrams(docs: DataFrame, words: list[bytes]) -> np.ndarray:
 
 
 def learn_classes(train: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, groups: int = GROUPS) -> Classes:
-    """train(text) to classes of its frequent words and coarse groups."""
+    """train(text) to classes of its frequent words and groups for the others."""
     words = _frequent(train, frequent)
     matrix = _bigrams(train, words)[:-1, :-1]
     of = exchange(matrix, classes)
     fine = int(of.max()) + 1 if len(of) else 0
     member = np.eye(fine)[of] if fine else np.zeros((0, 0))
     between = member.T @ matrix @ member if fine else np.zeros((0, 0))
-    coarse = exchange(between, groups)
+    coarse = exchange(between, groups) if groups < fine else np.arange(fine)
     k = int(coarse.max()) + 1 if len(coarse) else 1
     fold = np.eye(k)[coarse] if fine else np.zeros((0, k))
     near = fold.T @ (between + between.T) @ fold + 1.0 if fine else np.ones((1, 1))
@@ -163,13 +163,12 @@ def learn_classes(train: DataFrame, frequent: int = FREQUENT, classes: int = CLA
 
 
 def _block_words(tagged: DataFrame, model: Classes) -> DataFrame:
-    """(block, h, n, g0..): each distinct word of a block, its count in training documents and its neighbours' groups there."""
+    """(block, h, n, near): each distinct word of a block, its count in training documents and its neighbours' groups there, as longs (count << 16 | group)."""
     k = model.groups
-    schema = "block long, h long, n int, " + ", ".join(f"g{i} int" for i in range(k))
 
     def flush(block: int, ids: dict, parts: list) -> pd.DataFrame:
         n = len(ids)
-        count, near = np.zeros(n, dtype=np.int64), np.zeros((n, k), dtype=np.int64)
+        count, keys, times = np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         group = np.full(n + 1, -1)
         for w, i in model.ids.items():
             if w in ids:
@@ -179,11 +178,13 @@ def _block_words(tagged: DataFrame, model: Classes) -> DataFrame:
             for here, there in ((seq[1:], seq[:-1]), (seq[:-1], seq[1:])):
                 g = group[there]
                 ok = (g >= 0) & (here < n)
-                near += np.bincount(here[ok] * k + g[ok], minlength=n * k).reshape(n, k)
-        out = pd.DataFrame({"block": block, "h": np.array([word_hash(w) for w in ids], dtype=np.int64), "n": count.astype(np.int32)})
-        for i in range(k):
-            out[f"g{i}"] = near[:, i].astype(np.int32)
-        return out
+                more, of = np.unique(here[ok] * k + g[ok], return_counts=True)
+                keys, back = np.unique(np.concatenate([keys, more]), return_inverse=True)
+                times = np.bincount(back, weights=np.concatenate([times, of]), minlength=len(keys)).astype(np.int64)
+        packed = (times << 16 | keys % k).astype("<i8").tobytes()
+        ends = np.searchsorted(keys, np.arange(n + 1) * k).tolist()
+        near = [packed[8 * a : 8 * z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+        return pd.DataFrame({"block": block, "h": np.array([word_hash(w) for w in ids], dtype=np.int64), "n": count.astype(np.int32), "near": near})
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, ids, parts, held = None, {}, [], []
@@ -211,7 +212,36 @@ def _block_words(tagged: DataFrame, model: Classes) -> DataFrame:
             pack_up()
             yield flush(now, ids, [np.where(p == gap, len(ids), p) for p in parts])
 
-    return tagged.mapInPandas(distinct, schema)
+    return tagged.mapInPandas(distinct, "block long, h long, n int, near binary")
+
+
+def _placed_words(found: DataFrame, model: Classes) -> DataFrame:
+    """(block, h, n, of, first): words of blocks with their counts over all blocks and the groups that all their neighbours favour."""
+    k, follow = model.groups, model.follow
+
+    def decided(rows: pd.DataFrame) -> pd.DataFrame:
+        h = rows["h"].to_numpy()
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        word = np.cumsum(first) - 1
+        packed = np.frombuffer(b"".join(rows["near"]), dtype="<i8")
+        at = np.repeat(word, rows["near"].str.len().to_numpy(dtype=np.int64) // 8) * k + (packed & 0xFFFF)
+        near = np.bincount(at, weights=packed >> 16, minlength=(word[-1] + 1) * k).reshape(-1, k)
+        n = np.add.reduceat(rows["n"].to_numpy(dtype=np.int64), np.flatnonzero(first))
+        return pd.DataFrame({"block": rows["block"], "h": h, "n": n[word], "of": (near @ follow).argmax(1)[word], "first": first})
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if len(rows):
+                whole = int(np.searchsorted(rows["h"].to_numpy(), rows["h"].iloc[-1]))
+                if whole:
+                    yield decided(rows.iloc[:whole])
+                rest = rows.iloc[whole:]
+        if rest is not None and len(rest):
+            yield decided(rest)
+
+    return found.repartition("h").sortWithinPartitions("h", "block").mapInPandas(placed, "block long, h long, n long, of int, first boolean")
 
 
 def _block_sums(model: Classes):
@@ -262,13 +292,7 @@ def score_texts(docs: DataFrame, out_of_training: Column, *, key: str = "doc_id"
     place = F.monotonically_increasing_id()
     tagged = rows.withColumn("place", place).select("doc_id", "text", "held_out", (F.shiftright("place", 33) * F.lit(1 << 33) + F.floor(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) / block)).cast("long").alias("block"))
 
-    found = _block_words(tagged, model)
-    word = Window.partitionBy("h")
-    near = [F.sum(f"g{i}").over(word) for i in range(model.groups)]
-    summed = found.select("block", "h", F.sum("n").over(word).alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(near)], (F.row_number().over(word.orderBy("block")) == 1).alias("first"))
-    favour = [sum((F.col(f"s{i}") * F.lit(float(model.follow[i, g])) for i in range(model.groups)), F.lit(0.0)) for g in range(model.groups)]
-    best = F.array_max(F.array(*[F.struct(x.alias("x"), F.lit(-g).alias("g")) for g, x in enumerate(favour)]))["g"]
-    placed = summed.select("block", "h", "n", (-best).alias("of"), "first")
+    placed = _placed_words(_block_words(tagged, model), model)
     sums = tagged.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(_block_sums(model), SUMS)
     sums = written(sums, "sums")
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from siglake.llm import decontam, html_text
+from siglake.llm import brown, decontam, html_text
 
 
 def test_edited_copies_leak_however_many_there_are(spark):
@@ -40,3 +40,17 @@ def test_template_text_in_an_article_is_no_main_text(spark):
     pages = spark.createDataFrame([(i, f"http://{e}.com/{i}", body.format(e, i)) for e in ("article", "main") for i in range(8)], "page_id long, url string, html string")
     got = html_text.extract_text(pages).collect()
     assert len(got) == 16 and all(r["text"] == "Title {0}\nStory {0} begins\nand ends {0}".format(r["page_id"]) for r in got)
+
+
+def test_words_outside_the_frequent_ones_reach_a_group_for_every_class(spark):
+    rows = [(f"a{i} b{i} " * 20 + f"a{i} rare{i}x{j} b{i}",) for i in range(12) for j in range(5)]
+    train = spark.createDataFrame(rows, "text string")
+    model = brown.learn_classes(train, frequent=24, classes=12)
+    assert model.groups == model.fine == 12
+    tagged = train.coalesce(1).selectExpr("cast(hash(text) % 2 as long) block", "false held_out", "text").sortWithinPartitions("block")
+    got = {(r["block"], r["h"]): r for r in brown._placed_words(brown._block_words(tagged, model), model).collect()}
+    of = {(i, r["of"]) for i in range(12) for j in range(5) for (_, h), r in got.items() if h == brown.word_hash(f"rare{i}x{j}".encode())}
+    groups = {i: {g for k, g in of if k == i} for i in range(12)}
+    near = {i: {int(model.follow[[model.group_of_word[model.ids[w]] for w in (f"a{i}".encode(), f"b{i}".encode())]].sum(0).argmax())} for i in range(12)}
+    assert groups == near and len(set().union(*groups.values())) > 6
+    assert {r["n"] for (_, h), r in got.items() if h == brown.word_hash(b"a0")} == {105} and sum(r["first"] for r in got.values()) == len({h for _, h in got})
