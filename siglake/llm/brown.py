@@ -2,7 +2,7 @@
 
 P(word | before) = P(class | class before) * P(word | class). Four passes over whole texts:
 
-1. The most frequent words: counters of each partition, summed.
+1. The most frequent words: counters of each partition with all its words, summed.
 2. Bigrams among them over all training documents; exchange clustering on the driver (its
    matrix is bounded by the number of such words) moves words between classes while the
    mutual information of adjacent classes grows. Each class has a twin, its group, for other
@@ -38,7 +38,8 @@ from siglake.llm.common import quoted, written
 #: Frequent words that are clustered, classes for them, groups for the other words (one for each class), documents of a block.
 FREQUENT, CLASSES, GROUPS, BLOCK = 600, 40, 40, 6_000
 DISCOUNT, MIX = 0.5, 20.0
-_LOCAL, _PRUNE = 4_000, 400_000
+#: Words counted at once in a task; more are handed on in parts.
+_HELD = 400_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -118,10 +119,10 @@ def _frequent(docs: DataFrame, most: int) -> list[bytes]:
         for b in batches:
             for t in b["text"]:
                 held.update(tokens(t))
-                if len(held) > _PRUNE:
-                    held = Counter(dict(held.most_common(_PRUNE // 4)))
-        top = held.most_common(_LOCAL)
-        yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]}, columns=["word", "n"])
+                if len(held) > _HELD:
+                    yield pd.DataFrame({"word": list(held), "n": list(held.values())}, columns=["word", "n"])
+                    held = Counter()
+        yield pd.DataFrame({"word": list(held), "n": list(held.values())}, columns=["word", "n"])
 
     sums = docs.mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r["word"]) for r in sums.orderBy(F.desc("n"), "word").limit(most).collect()]

@@ -54,3 +54,12 @@ def test_words_outside_the_frequent_ones_reach_a_group_for_every_class(spark):
     near = {i: {int(model.follow[[model.group_of_word[model.ids[w]] for w in (f"a{i}".encode(), f"b{i}".encode())]].sum(0).argmax())} for i in range(12)}
     assert groups == near and len(set().union(*groups.values())) > 6
     assert {r["n"] for (_, h), r in got.items() if h == brown.word_hash(b"a0")} == {105} and sum(r["first"] for r in got.values()) == len({h for _, h in got})
+
+
+def test_frequent_words_are_counted_whole(spark):
+    def texts(parts):
+        for part in parts:
+            yield (" ".join(f"p{part}w{i} p{part}w{i}" for i in range(4_100)) + " everywhere",)
+
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(range(6), 6).mapPartitions(texts), "text string")
+    assert brown._frequent(docs, 1) == [b"everywhere"]
