@@ -3,7 +3,8 @@
 A rule (host, path, verdict) fits its host and all subdomains where the url's path starts
 with the rule's; the longest wins. Redirects (meta refresh) and canonical links join urls
 into classes of aliases (connected components). A url that a rule blocks blocks its whole
-class, but for urls that a rule allows: an explicit allow goes before what is propagated.
+class, be it a page or only the target of a link, but for urls that a rule allows: an explicit
+allow goes before what is propagated.
 """
 
 from __future__ import annotations
@@ -41,6 +42,20 @@ def _fitting(host: Column, path: Column, rules) -> Column:
     return F.array_max(fits)
 
 
+def _with_fit(rows: DataFrame, rules) -> DataFrame:
+    """rows(host, path, ...) with fit, the longest rule that fits."""
+    if not rules:
+        return rows.withColumn("fit", F.lit(None).cast("struct<length:int,rule:string,verdict:string>"))
+    if len(rules) <= LITERAL_RULES:
+        return rows.withColumn("fit", _fitting(F.col("host"), F.col("path"), rules))
+    listed = rows.sparkSession.createDataFrame([(h, p, v, len(h) + len(p)) for h, p, v in rules], "rh string, rp string, rv string, length int")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.concat_ws(".", F.slice(F.split("host", r"\."), i, F.size(F.split("host", r"\.")))))
+    hosts = rows.select("host", "path").distinct()
+    best = hosts.select("host", "path", F.explode(suffixes).alias("rh")).join(listed, "rh").where("startswith(path, rp)")
+    best = best.groupBy("host", "path").agg(F.max(F.struct("length", F.concat("rh", "rp").alias("rule"), F.col("rv").alias("verdict"))).alias("fit"))
+    return rows.join(best, ["host", "path"], "left")
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): nodes that a canonical link or a meta refresh joins; relative targets are resolved."""
     page, body = F.col(quoted(url)), F.col(quoted(html))
@@ -69,24 +84,16 @@ def judge_urls(pages: DataFrame, rules=RULES, *, url: str = "url", html: str = "
     """
     page = F.col(quoted(url))
     judged = pack(pages, url_host(page).alias("host"), url_path(page).alias("path"), url_node(page).alias("node"))
-    if not rules:
-        judged = judged.withColumn("fit", F.lit(None).cast("struct<length:int,rule:string,verdict:string>"))
-    elif len(rules) <= LITERAL_RULES:
-        judged = judged.withColumn("fit", _fitting(F.col("host"), F.col("path"), rules))
-    else:
-        listed = pages.sparkSession.createDataFrame([(h, p, v, len(h) + len(p)) for h, p, v in rules], "rh string, rp string, rv string, length int")
-        suffixes = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.concat_ws(".", F.slice(F.split("host", r"\."), i, F.size(F.split("host", r"\.")))))
-        hosts = judged.select("host", "path").distinct()
-        best = hosts.select("host", "path", F.explode(suffixes).alias("rh")).join(listed, "rh").where("startswith(path, rp)")
-        best = best.groupBy("host", "path").agg(F.max(F.struct("length", F.concat("rh", "rp").alias("rule"), F.col("rv").alias("verdict"))).alias("fit"))
-        judged = judged.join(best, ["host", "path"], "left")
+    judged = _with_fit(judged, rules)
     own = F.col("fit.verdict")
     edges = written(alias_edges(pages, url, html), "aliases")
     if edges.isEmpty():
         out = judged.withColumn("verdict", F.coalesce(own, F.lit("allow")))
     else:
         classes = written(connected_components(edges), "classes")
-        blocked = judged.where(own == "block").select("node").distinct().join(classes, "node").select("root").distinct()
+        # every node of a class is judged, also a target that isn't a page
+        node = F.concat(F.lit("http://"), "node")
+        blocked = _with_fit(classes.select("root", url_host(node).alias("host"), url_path(node).alias("path")), rules).where(own == "block").select("root").distinct()
         spread = classes.join(blocked, "root").select("node", F.lit("block").alias("spread"))
         out = judged.join(spread, "node", "left").withColumn("verdict", F.coalesce(own, F.col("spread"), F.lit("allow")))
     return unpack(out.withColumn("rule", F.col("fit.rule")), ["host", "path", "rule", "verdict"])

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from siglake.llm import brown, decontam, html_text
+from siglake.llm import brown, decontam, html_text, urls
 
 
 def test_edited_copies_leak_however_many_there_are(spark):
@@ -63,3 +63,14 @@ def test_frequent_words_are_counted_whole(spark):
 
     docs = spark.createDataFrame(spark.sparkContext.parallelize(range(6), 6).mapPartitions(texts), "text string")
     assert brown._frequent(docs, 1) == [b"everywhere"]
+
+
+def test_a_blocked_target_that_is_no_page_blocks_its_aliases(spark):
+    rows = [
+        (1, "http://a.org/x", '<link rel="canonical" href="http://b.net/es/1">'), (2, "http://c.org/q", "<link rel=canonical href=http://a.org/x>"), (3, "http://d.com/z", '<link rel="canonical" href="http://b.net/es/1">'),
+        (4, "http://e.org/y", '<meta http-equiv="refresh" content="0; url=http://F.Net/fr/?q#f">'), (5, "http://g.org/", '<link rel="canonical" href="http://b.net/en/1">'), (6, "http://h.org/", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow"}
+    for rules in (urls.RULES, [*urls.RULES, *((f"x{i}.info", "/", "block") for i in range(80))]):
+        assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, rules).collect()} == want
