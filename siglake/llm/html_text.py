@@ -4,10 +4,11 @@ A page is cut into tokens: tags with the path of elements they stand in, and who
 text with their path. Over the pages of a host, each token's occurrence vector (how often it
 stands in each page) is folded into one number, an exclusive or of hashes of (page, count),
 which partial aggregates combine on the map side: no group of pages is ever gathered. Tokens
-of a host with the same vector form an equivalence class. A class is valid if its pages are a
-given share of the host's and it has several tokens; the tokens of all valid classes make up
-the template of the host, whose size that share bounds. (A token's path is part of it; classes
-aren't nested in each other.) What stands between template tokens are slots: text that is a
+of a host with the same vector form an equivalence class. A class is valid if it has several
+tokens and its pages are a given share of the host's, or SUPPORT at least, or if tags are among
+its tokens (a layout of few pages of a large host); the tokens of all valid classes make up the
+template of the host. Small templates are broadcast, others joined to the tokens of each page.
+(A token's path is part of it; classes aren't nested in each other.) What stands between template tokens are slots: text that is a
 template token goes. Of the slots, those in menus, forms, notices and the like go. If the page
 has an article or main element, by the template or else by its name, all its other slots are
 the main text; else the part of the page with the densest text is taken.
@@ -45,7 +46,9 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: A template token stands in this share of the host's pages, and in MIN_PAGES at least.
 SHARE, MIN_PAGES, MIN_TOKENS = 0.3, 4, 2
-#: Templates up to this number of tokens in all are broadcast (16 bytes each).
+#: Pages in which a token is template however large its host is.
+SUPPORT = 20
+#: Templates up to this number of tokens in all are broadcast (8 bytes each).
 BROADCAST_TOKENS = 1_000_000
 
 
@@ -178,11 +181,11 @@ def token_hash(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
-def page_tokens(page: str) -> Counter:
+def page_tokens(page: str) -> list[tuple[int, int, bool]]:
+    """The distinct tokens of a page: hash, times and whether it is a tag."""
     tags, blocks = parse(page)
-    found = Counter(token_hash(t, "") for t in tags)
-    found.update(token_hash(b.path, b.text) for b in blocks)
-    return found
+    texts = Counter(token_hash(b.path, b.text) for b in blocks)
+    return [*((t, n, True) for t, n in Counter(token_hash(t, "") for t in tags).items()), *((t, n, False) for t, n in texts.items())]
 
 
 def _is_outside(stack: tuple, inner: bool) -> bool:
@@ -239,24 +242,37 @@ def main_text(page: str, template: set) -> list[str]:
 
 
 def host_templates(pages: DataFrame, share: float, min_pages: int, min_tokens: int) -> DataFrame:
-    """pages(host, html, pid) to (host, template array of token hashes)."""
+    """pages(host, html, pid) to (host, token), the template tokens of each host."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held: dict = {}
             for host, body, pid in zip(batch["host"], batch["html"], batch["pid"], strict=True):
-                for token, n in page_tokens(body or "").items():
-                    mine = held.setdefault((host, token), [0, 0])
+                for token, n, tag in page_tokens(body or ""):
+                    mine = held.setdefault((host, token), [0, 0, tag])
                     mine[0] += 1
                     mine[1] ^= xxhash.xxh64_intdigest(f"{pid}|{n}") >> 1
-            yield pd.DataFrame([(h, t, n, v) for (h, t), (n, v) in held.items()], columns=["host", "token", "pages", "vector"])
+            yield pd.DataFrame([(h, t, *x) for (h, t), x in held.items()], columns=["host", "token", "pages", "vector", "tag"])
 
-    seen = pages.mapInPandas(tokens, "host string, token long, pages long, vector long")
-    seen = seen.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
+    seen = pages.mapInPandas(tokens, "host string, token long, pages long, vector long, tag boolean")
+    seen = seen.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.max("tag").alias("tag"))
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    common = seen.where(F.col("pages") >= min_pages).join(sizes, "host").where(F.col("pages") >= F.col("of") * share)
-    classes = common.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= min_tokens)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    common = seen.where(F.col("pages") >= min_pages).join(sizes, "host")
+    classes = common.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"), F.max("pages").alias("pages"), F.max("of").alias("of"), F.max("tag").alias("tag"))
+    valid = (F.size("tokens") >= min_tokens) & ((F.col("pages") >= F.col("of") * share) | (F.col("pages") >= SUPPORT) | F.col("tag"))
+    return classes.where(valid).select("host", F.explode("tokens").alias("token"))
+
+
+def _page_templates(hosted: DataFrame, template: DataFrame) -> DataFrame:
+    """(page, template): the template tokens of each distinct page of hosted(host, html, page), by a join on tokens."""
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(h, p, t) for h, body, p in zip(batch["host"], batch["html"], batch["page"], strict=True) for t, _, _ in page_tokens(body or "")]
+            yield pd.DataFrame(rows, columns=["host", "page", "token"])
+
+    own = hosted.mapInPandas(tokens, "host string, page binary, token long").join(template, ["host", "token"])
+    return own.groupBy("page").agg(F.collect_set("token").alias("template"))
 
 
 def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html", share: float = SHARE, min_pages: int = MIN_PAGES, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -269,12 +285,26 @@ def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html", shar
     """
     hosted = pack(pages, url_host(F.col(quoted(url))).alias("host"), F.col(quoted(html)).alias("html"))
     template = written(host_templates(hosted.select("host", "html", F.monotonically_increasing_id().alias("pid")), share, min_pages, min_tokens), "templates")
-    known = template.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
-    joined = hosted.join(F.broadcast(template) if known <= BROADCAST_TOKENS else template, "host", "left")
 
-    @F.pandas_udf("string")
-    def text_of(bodies: pd.Series, templates: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(main_text(b or "", set(t) if t is not None else set())) for b, t in zip(bodies, templates, strict=True)])
+    if template.count() <= BROADCAST_TOKENS:
+        rows = template.toPandas()
+        held = hosted.sparkSession.sparkContext.broadcast({h: t.to_numpy() for h, t in rows.groupby("host")["token"]})
+        sets: dict = {}
+
+        @F.pandas_udf("string")
+        def text_of(bodies: pd.Series, hosts: pd.Series) -> pd.Series:
+            for h in set(hosts) - set(sets):
+                sets[h] = set(held.value[h].tolist()) if h in held.value else set()
+            return pd.Series(["\n".join(main_text(b or "", sets[h])) for b, h in zip(bodies, hosts, strict=True)])
+
+        joined, of = hosted, "host"
+    else:
+
+        @F.pandas_udf("string")
+        def text_of(bodies: pd.Series, templates: pd.Series) -> pd.Series:
+            return pd.Series(["\n".join(main_text(b or "", set(t) if t is not None else set())) for b, t in zip(bodies, templates, strict=True)])
 
-    out = joined.withColumn("text", text_of("html", "template")).withColumn("n_chars", F.char_length("text").cast("long"))
+        hosted = hosted.withColumn("page", F.unhex(F.sha2(F.concat_ws("\n", "host", "html"), 256)))
+        joined, of = hosted.join(_page_templates(hosted.select("host", "html", "page"), template), "page", "left"), "template"
+    out = joined.withColumn("text", text_of("html", of)).withColumn("n_chars", F.char_length("text").cast("long"))
     return unpack(out, ["text", "n_chars"])

@@ -1,6 +1,7 @@
 """Cases in which the training-data operators once did less than the whole job."""
 
 import numpy as np
+import pytest
 
 from siglake.llm import brown, decontam, html_text, urls
 
@@ -74,3 +75,14 @@ def test_a_blocked_target_that_is_no_page_blocks_its_aliases(spark):
     want = {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow"}
     for rules in (urls.RULES, [*urls.RULES, *((f"x{i}.info", "/", "block") for i in range(80))]):
         assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, rules).collect()} == want
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_layouts_of_few_pages_of_a_host_are_templates(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_text, "BROADCAST_TOKENS", broadcast)
+    body = "<html><body><div class='x{0}'><p>Our offers of layout {0} are long and stand before everything else on the page</p><p>Call layout {0} now</p></div><div class='y{0}'><p>Story {1} begins and goes on</p><p>and ends {1}</p></div></body></html>"
+    same = "<html><body><div><p>Notice {0} that every page of this section shows to all of its readers</p><p>Second line {0}</p><p>Text {1} begins</p><p>and ends {1}</p></div></body></html>"
+    rows = [(i, f"http://one.com/{i}", body.format(i % 5, i)) for i in range(40)] + [(100 + i, f"http://two.com/{i}", same.format(i % 5, i)) for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+    assert got == {i: f"Story {i} begins and goes on\nand ends {i}" for i in range(40)} | {100 + i: f"Text {i} begins\nand ends {i}" for i in range(150)}
