@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,11 +93,45 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Freed memory of a Python worker goes back to the machine: workers are reused, and else keep the most they ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:
+    """mapInPandas over bounded batches; the worker gives memory back at the end of each task."""
+    bound_batches(df.sparkSession)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInPandas(task, schema)
+
+
+def column_of(spark: SparkSession, kernel: Callable[..., pd.Series], schema: str) -> Callable[..., Column]:
+    """A kernel over the Series of a batch as a column function, with bounded batches."""
+    bound_batches(spark)
+
+    def task(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield kernel(*b) if isinstance(b, tuple) else kernel(b)
+        give_back()
+
+    def frames(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        yield from task(batches)
+
+    return F.pandas_udf(frames if schema.startswith("struct") else task, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def partitions_for(spark: SparkSession, total_bytes: int, per_partition: int = 64 << 20) -> int:
+def partitions_for(spark: SparkSession, total_bytes: int, per_partition: int = 32 << 20) -> int:
     return max(shuffle_partitions(spark), math.ceil(total_bytes / per_partition))
 
 

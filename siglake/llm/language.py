@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siglake.llm.common import pack, quoted, unpack
+from siglake.llm.common import column_of, mapped, pack, quoted, unpack
 
 #: Length of vectors, letters of an n-gram, documents of a language that teach.
 DIM, GRAM, SAMPLE = 1024, 3, 3_000
@@ -28,7 +28,7 @@ _BLOCK = 2048
 _SPACE = 32
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def letter_vector(code: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, code]).integers(0, 2, dim, dtype=np.int8) * np.int8(2) - np.int8(1)
 
@@ -91,7 +91,11 @@ class Profiles:
 
 
 def learn_profiles(docs: DataFrame, keep: Column | None = None, *, key: str = "doc_id", text: str = "text", lang: str = "lang", dim: int = DIM, gram: int = GRAM, sample: int = SAMPLE, seed: int = 17) -> Profiles:
-    """Prototypes from the documents that keep admits; rows with a null language teach nothing."""
+    """Prototypes from the documents that keep admits; rows with a null language or without letters teach nothing.
+
+    Repeated rows teach each. Without any teaching document there are no languages, and every
+    text is `und`. Names of other columns don't matter.
+    """
     rows = docs.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text"), F.col(quoted(lang)).alias("lang")).where("lang is not null")
     if keep is not None:
         rows = rows.where(keep)
@@ -111,7 +115,7 @@ def learn_profiles(docs: DataFrame, keep: Column | None = None, *, key: str = "d
         if held:
             yield pd.DataFrame({"lang": list(held), "v": [x.tolist() for x in held.values()]})
 
-    parts = picked.mapInPandas(bundled, "lang string, v array<double>")
+    parts = mapped(picked, bundled, "lang string, v array<double>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).toPandas()  # dim rows a language
     languages = sorted(sums["lang"].unique())
     prototypes = np.zeros((len(languages), dim))
@@ -129,10 +133,7 @@ def identify_language(docs: DataFrame, profiles: Profiles, *, text: str = "text"
     alike. An empty table gives an empty result. Input columns named like an output column
     give way to it.
     """
-
-    @F.pandas_udf("struct<lang_pred string, score double>")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
-
+    kernel = lambda texts: pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
+    judged = column_of(docs.sparkSession, kernel, "struct<lang_pred: string, score: double>")
     out = pack(docs, judged(F.col(quoted(text))).alias("found"))
     return unpack(out.select("row", "found.lang_pred", "found.score"), ["lang_pred", "score"])

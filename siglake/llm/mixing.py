@@ -31,7 +31,12 @@ BROADCAST_CELLS = 100_000
 
 
 def source_targets(sizes: DataFrame, most: float = 3.0, period: int = 3) -> DataFrame:
-    """sizes(source, source_size) to source, source_size, target. One row a source: the windows are over sources."""
+    """sizes(source, source_size) to source, source_size, target.
+
+    One row a source, the null source among them; the windows are over sources, sizes alone. Equal
+    ratios stand in order of the source. Without sources the result is empty; sources without
+    words have target 0.
+    """
     ranked = sizes.withColumn("weight", ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % period + 1).cast("double"))
     capped = ranked.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
     order = Window.orderBy("ratio", F.col("source").asc_nulls_last())

@@ -20,9 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from siglake.llm.common import pack, quoted, unpack
+from siglake.llm.common import column_of, mapped, pack, quoted, unpack
 
 #: Most labelled rows that the weights are learned from, and pairs drawn among them.
 SAMPLE, PAIRS = 20_000, 60_000
@@ -58,12 +57,12 @@ def features(text: str | None) -> np.ndarray:
     ends = Counter(_CLASS[w[-1]] for w in words)
     caps = sum(1 for w in words if len(w) > 1 and w.isupper())
     lone = sum(1 for w in words if len(w) == 1 and not w.isalnum())
-    heads = len({x[:24] for x in lines})
+    plain = len({re.sub(rb"[^A-Za-z\x80-\xff]+", b" ", x).strip().lower() for x in lines})
     base = [
         0.0, kinds[2] / letters, kinds[3] / n, kinds[4] / n, kinds[5] / n, kinds[6] / n, kinds[7] / n, kinds[8] / n, kinds[9] / n,
         caps / m, lone / m, ends[6] / m, ends[8] / m, ends[5] / m, ends[3] / m,
         len(counts) / m ** 0.9, counts.most_common(1)[0][1] / m, 1 - pairs / max(m - 2, 1) if m > 2 else 0.0,
-        1 - len(set(lines)) / max(len(lines), 1), 1 - heads / max(len(lines), 1),
+        1 - len(set(lines)) / max(len(lines), 1), 1 - plain / max(len(lines), 1),
         np.log1p(m) / 10, np.log1p(len(lines)) / 10, min(m / max(len(lines), 1), 200) / 200, min(n / m, 40) / 40, len(_TAG.findall(raw)) / m,
     ]
     sharp = [min(1.0, 10 * base[i]) for i in (1, 5, 6, 7, 9, 10, 11, 12, 17, 18)] + [float(m < k) for k in (4, 8, 16, 32)]
@@ -116,20 +115,26 @@ def fit_ranking(x: np.ndarray, good: np.ndarray, *, pairs: int = PAIRS, ridge: f
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Ranking:
-    """Ranking from labels(doc_id, quality) that keep admits. Null labels and ids teach nothing; of repeated ids the lower label counts."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    """Ranking from labels(doc_id, quality) that keep admits. Null labels and ids teach nothing.
+
+    Of repeated labels of an id the lower counts, of repeated documents of an id the one whose
+    text has the least hash. Empty tables, or labels of one kind, give a ranking that predicts
+    that kind (0 without any) for all. Ids are integers.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     if keep is not None:
         rows = rows.where(keep)
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by sample, so it may be broadcast
-    found = docs.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = docs.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
+    found = texts.join(F.broadcast(picked), "doc_id").withColumn("t", F.xxhash64("text"))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "f": [features(t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "t": b["t"], "f": [features(t) for t in b["text"]]})
 
-    got = found.mapInPandas(measured, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("f", T.ArrayType(T.DoubleType()))]))
-    got = got.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    got = mapped(found, measured, "doc_id long, quality int, t long, f array<double>")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("t", "quality", "f")).alias("x")).select("doc_id", "x.quality", "x.f").toPandas().sort_values("doc_id")  # sample rows at most
     x = np.array(got["f"].tolist()).reshape(-1, WIDTH)
     return fit_ranking(x, got["quality"].to_numpy() == 1)
 
@@ -141,11 +146,19 @@ def score_quality(docs: DataFrame, ranking: Ranking, *, text: str = "text") -> D
     An empty table gives an empty result. Input columns named like an output column give way.
     """
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(ranking.score(np.array([features(t) for t in texts]).reshape(-1, WIDTH)))
-
-    out = pack(docs, scored(F.col(quoted(text))).alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    out = pack(docs, _scored(docs, ranking, text).alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
     return unpack(out, ["score", "predicted"])
 
 
+def keep_good(docs: DataFrame, ranking: Ranking, *, text: str = "text") -> DataFrame:
+    """The rows of docs that the ranking predicts to be good, with their columns as they were, whatever their names.
+
+    A null text is judged as an empty one; repeated rows stand or fall together; an empty table
+    stays empty.
+    """
+    return docs.where(_scored(docs, ranking, text) >= CUT)
+
+
+def _scored(docs: DataFrame, ranking: Ranking, text: str) -> Column:
+    kernel = lambda texts: pd.Series(ranking.score(np.array([features(t) for t in texts]).reshape(-1, WIDTH)))
+    return column_of(docs.sparkSession, kernel, "double")(F.col(quoted(text)))

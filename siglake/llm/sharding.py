@@ -66,5 +66,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, *, key: str = "doc_id", t
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """A folder for each shard, rows in the order of their slots."""
-    sharded.repartition(F.col("shard")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """A folder for each shard, its rows in files by ranges of slots, each in the order of its slots.
+
+    Names other than shard and slot don't matter; repeated rows are written each; an empty table
+    writes no shard.
+    """
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from siglake.llm import brown, decontam, html_text, urls
+from siglake.llm import brown, decontam, html_text, jaccard_join, mixing, quality, sharding, urls
 
 
 def test_edited_copies_leak_however_many_there_are(spark):
@@ -86,3 +87,99 @@ def test_layouts_of_few_pages_of_a_host_are_templates(spark, monkeypatch, broadc
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
     assert got == {i: f"Story {i} begins and goes on\nand ends {i}" for i in range(40)} | {100 + i: f"Text {i} begins\nand ends {i}" for i in range(150)}
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, _stay int, _place int, `a.b` string, row int, h string, t string, doc_id2 long, root int, shard string, slot string, size string, copies string, k string, u string, whole string, held_out string"
+
+
+def clashing(spark):
+    rows = [(1, "the cat sat on the mat and looked"), (1, "the cat sat on the mat and looked"), (1, "quite another text for this id here"), (2, None), (3, ""), (None, "a null id with some more words"), (None, None), (4, "one"), (5, "the cat sat on the mat and looked")]
+    return spark.createDataFrame([(i, t, None, None, None, "MINE", "P", 1, 2, "dot", 3, "h", "t", 9, 4, "s", "l", "z", "c", "k", "u", "w", "x") for i, t in rows], CLASHES)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_keep_columns_of_any_name(spark, empty):
+    docs = clashing(spark).limit(0) if empty else clashing(spark)
+    labels = spark.createDataFrame([(1, 1), (4, 0), (3, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "a null id with some more"), (None, None)], "item_id long, text string")
+    good = quality.keep_good(docs, quality.learn_quality(docs, labels))
+    single = jaccard_join.keep_one(docs)
+    clean = decontam.without_leaks(docs, bench)
+    mixed = mixing.mix_sources(docs, expand=True)
+    for out in (good, single, clean, mixed):
+        assert out.columns == docs.columns
+        assert all(r["score"] == "MINE" and r["a.b"] == "dot" and r["_stay"] == 1 and r["_place"] == 2 for r in out.collect())
+    want = [] if empty else [(None, None), (None, "a null id with some more words"), (1, "quite another text for this id here"), (1, "the cat sat on the mat and looked"), (2, None), (3, ""), (4, "one")]
+    assert sorted(((r["doc_id"], r["text"]) for r in single.collect()), key=str) == sorted(want, key=str)
+    assert clean.count() == (0 if empty else 8)
+    placed = sharding.shard_documents(docs, 3)
+    assert {"score", "a.b", "shard", "slot", "grown_shard"} <= set(placed.columns) and placed.count() == docs.count()
+
+
+def test_shards_are_written_in_the_order_of_slots(spark, tmp_path):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    sharding.write_shards(sharding.shard_documents(docs, 4, bucket_bytes=500), str(tmp_path / "out"))
+    for shard in range(4):
+        files = sorted((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))
+        slots = [r["slot"] for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert slots == list(range(len(slots))) and slots
+
+
+@pytest.mark.parametrize("num", [50, 60])
+def test_links_of_low_thresholds_are_found(num):
+    rng = np.random.default_rng(num)
+    signer = jaccard_join.Signer(num, 100, np.zeros(0, dtype=np.uint64))
+    for size in (2, 5, 20, 60, 200):
+        for _ in range(200):
+            a = np.unique(rng.integers(1, 1 << 62, size, dtype=np.uint64))
+            lost = int(rng.integers(0, size))
+            b = np.unique(np.concatenate([a[lost:], rng.integers(1, 1 << 62, int(rng.integers(0, size)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= num * (len(a) + len(b) - both) and both:
+                assert len(np.intersect1d(signer(a), signer(b)))
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_every_linked_pair_shares_a_signature(num):
+    rng = np.random.default_rng(num)
+    common = np.sort(rng.integers(1, 1 << 62, 50, dtype=np.uint64))
+    signer = jaccard_join.Signer(num, 100, common, rng.integers(1, 9, 50))
+    linked = 0
+    for size in (1, 3, 9, 30, 45, 52, 70, 120, 500):
+        for _ in range(150):
+            a = np.unique(np.concatenate([rng.choice(common, min(size // 3, 50)), rng.integers(1, 1 << 62, size, dtype=np.uint64)]))
+            cut = int(rng.integers(0, len(a) // 4 + 1))
+            b = np.unique(np.concatenate([np.delete(a, rng.choice(len(a), cut, replace=False)), rng.integers(1, 1 << 62, int(rng.integers(0, len(a) // 8 + 1)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= num * (len(a) + len(b) - both):
+                linked += 1
+                assert len(np.intersect1d(signer(a), signer(b)))
+    assert linked > 200
+
+
+def test_a_hot_group_is_joined_without_all_its_pairs(spark, monkeypatch):
+    """Blocks of a few documents: chains across blocks, a large component and some small ones in one group."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", 5)
+    rng = np.random.default_rng(4)
+    texts = {}
+    base = [f"w{i}" for i in range(60)]
+    for g in range(3):
+        for c in range(30 if g == 0 else 6):
+            words = base[:40] + [f"g{g}x{i}" for i in range(8)]
+            words[int(rng.integers(0, 40))] = f"n{rng.integers(10**6)}"
+            texts[len(texts)] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_classes(docs, n=1, num=85).collect()}
+    sets = {i: set(t.split()) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) > 1
