@@ -161,12 +161,39 @@ def test_decontamination(spark):
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, score string")
     bench = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "two words"), (None, item)], "item_id long, text string")
     got = decontam.find_leaks(docs, bench).collect()
-    assert Counter(r["doc_id"] for r in got) == {1: 2, 2: 1, None: 1, 6: 1} and {r["item_id"] for r in got} == {10}
+    assert Counter(r["doc_id"] for r in got) == {1: 4, 2: 2, None: 2, 6: 2} and {r["item_id"] for r in got} == {10, None}
     first = next(r for r in got if r["doc_id"] == 1)
     assert (first["score"], first["first_word"], first["last_word"]) == (1.0, 50, 65)
     kept = decontam.without_leaks(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, 5}
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
+    blocks = decontam.find_leaks(docs, bench, block_bytes=40)
+    assert sorted(map(str, blocks.collect())) == sorted(map(str, got))
+    assert {r["doc_id"] for r in decontam.without_leaks(docs, bench, block_bytes=40).collect()} == {3, 4, 5}
+
+
+def test_short_items_are_found_apart(spark):
+    docs = spark.createDataFrame([(1, "here are Two words."), (2, "two, words; and two words"), (3, "twowords"), (None, "two words"), (4, None), (2, "Paris"), (5, "words two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(13, "two words"), (14, "paris!"), (15, ""), (16, None), (17, "two words and")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["first_word"]) for r in decontam.find_short_items(docs, bench).collect()}
+    assert got == {(1, 13, 2), (2, 13, 0), (None, 13, 0), (2, 14, 0)}
+    assert decontam.find_short_items(docs.limit(0), bench).count() == 0
+
+
+def test_copies_with_many_foreign_words_are_found():
+    rng = np.random.default_rng(8)
+    for size in (12, 25, 40):
+        item = [f"i{k}" for k in range(size)]
+        items = decontam.Items([(7, " ".join(item))])
+        for _ in range(60):
+            words = [w for w in item if rng.random() > 0.08]
+            for _ in range(int(rng.integers(1, 4))):
+                at = int(rng.integers(0, len(words) + 1))
+                words[at:at] = [f"f{rng.integers(10**6)}" for _ in range(int(rng.integers(0, size // 2 + 3)))]
+            passage = [f"b{k}" for k in range(60)] + words + [f"e{k}" for k in range(60)]
+            want = decontam.align(items.items[0][1], items.ids(" ".join(passage)))[0] / (2 * size)
+            got = items.find(" ".join(passage), 0.5)
+            assert ([g[1] for g in got] == [want]) if want >= 0.5 and items.seen(" ".join(passage)).size else not got
 
 
 def test_seeds_stay_where_they_are_rare_for_their_item():
