@@ -1,20 +1,23 @@
 """Language-model scoring by Brown class-based bigrams.
 
-P(word | before) = P(class | class before) * P(word | class). Four passes over whole texts:
-
-1. The most frequent words: counters of each partition with all its words, summed.
-2. Bigrams among them over all training documents; exchange clustering on the driver (its
-   matrix is bounded by the number of such words) moves words between classes while the
-   mutual information of adjacent classes grows. Each class has a twin, its group, for other
-   words (fewer groups, into which the classes are exchanged in the same way, can be asked for).
-3. For blocks of documents, every distinct word with its training count and the groups of its
-   neighbours. By word, these are summed over blocks, from sorted rows; a word outside the frequent ones goes
-   to the group that its neighbours favour, one exchange step with the rest held fixed.
-4. Each block meets the counts and classes of its own words (words reach a block once, not
-   once a token) and is turned into sums of logarithms and class transitions.
+P(word | before) = P(class | class before) * P(word | class). Over whole texts:
+
+1. The counts of all words, as a table. The most frequent words are clustered; how many, and in
+   how many classes, grows with the vocabulary (`sizes_for`).
+2. Bigrams among them over all training documents; exchange clustering on the driver (bounded by
+   the number of such words) moves words between classes while the mutual information of
+   adjacent classes grows. Each class has a twin, its group, for other words (fewer groups, into
+   which the classes are exchanged in the same way, can be asked for).
+3. Texts become runs of word numbers, in blocks of bounded bytes: frequent words have one number
+   everywhere, others a number in their block. Each block lists its other words with their
+   training counts and the groups of their neighbours; the frequent ones never enter a shuffle.
+   By word, these are summed over blocks, from sorted rows; a word goes to the group that its
+   neighbours favour, one exchange step with the rest held fixed.
+4. Each block meets the counts and classes of its own words and is turned into sums of
+   logarithms and class transitions. Texts are cut into words once for 3 and 4.
 
 What is left then is small: transitions and class sizes over all training documents give the
-probabilities, which are applied to each document's transitions. Words are known by 64-bit
+probabilities, which are applied to each document's transitions. Other words are known by 64-bit
 hashes between passes.
 
 Smoothing: a word of a class has (count - DISCOUNT) / class size; what is taken off is the
@@ -30,16 +33,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siglake.llm.common import quoted, written
+from siglake.llm.common import column_of, give_back, mapped, quoted, written
 
-#: Frequent words that are clustered, classes for them, groups for the other words (one for each class), documents of a block.
-FREQUENT, CLASSES, GROUPS, BLOCK = 600, 40, 40, 6_000
+#: Bytes of text of a block; the most bigrams and words that a task holds before it hands them on or folds them.
+BLOCK_BYTES, _HELD = 12 << 20, 400_000
 DISCOUNT, MIX = 0.5, 20.0
-#: Words counted at once in a task; more are handed on in parts.
-_HELD = 400_000
+
+
+def sizes_for(vocabulary: int) -> tuple[int, int]:
+    """Frequent words that are clustered, and their classes: by the fourth root of the vocabulary, and by the square root of that."""
+    frequent = max(600, round(60 * vocabulary**0.25))
+    return frequent, max(40, round(1.4 * frequent**0.5))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -52,25 +60,33 @@ def word_hash(word: bytes) -> int:
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
-    """Class of each word so that sum n(a,b) log n(a,b) over class pairs, less that of either side, is a local maximum.
+    """exchange_pairs of a matrix of counts."""
+    a, b = np.nonzero(bigrams)
+    return exchange_pairs(a, b, np.asarray(bigrams, dtype=float)[a, b], len(bigrams), classes, sweeps)
+
+
+def exchange_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int, classes: int, sweeps: int = 12) -> np.ndarray:
+    """Class of each of `size` words so that sum n(a,b) log n(a,b) over class pairs, less that of either side, is a local maximum.
 
     Words start by rank, in turn; they are visited in order and moved to the best class, the
-    first of equals, until a sweep moves none.
+    first of equals, until a sweep moves none. a, b, n: the bigrams that occur and their counts.
     """
-    n = len(bigrams)
-    classes = max(1, min(classes, n))
-    of = np.arange(n) % classes
-    if n == 0 or classes == 1:
+    classes = max(1, min(classes, size))
+    of = np.arange(size) % classes
+    if size == 0 or classes == 1:
         return of
-    member = np.zeros((n, classes))
-    member[np.arange(n), of] = 1
-    right, left = bigrams @ member, bigrams.T @ member  # word x class: what follows it, what it follows
-    pairs = member.T @ right
+    total = lambda keys, rows: np.bincount(keys, weights=n, minlength=rows * classes).reshape(rows, classes)
+    right, left = total(a * classes + of[b], size), total(b * classes + of[a], size)  # word x class: what follows it, what it follows
+    pairs = total(of[a] * classes + of[b], classes)
+    own_counts = np.bincount(a[a == b], weights=n[a == b], minlength=size)
+    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    ends_a, ends_b = (np.searchsorted(x, np.arange(size + 1)) for x in (a[by_a], b[by_b]))
     h = lambda x: x * np.log(np.maximum(x, 1e-300))
+    d = np.arange(classes)
     for _ in range(sweeps):
         moved = False
-        for w in range(n):
-            old, own = of[w], bigrams[w, w]
+        for w in range(size):
+            old, own = of[w], own_counts[w]
             pairs[old] -= right[w]
             pairs[:, old] -= left[w]
             pairs[old, old] += own
@@ -79,7 +95,6 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
             c[old] -= own
             rows, columns, base = pairs.sum(1), pairs.sum(0), h(pairs)
             gain = (h(pairs + r) - base).sum(1) + (h(pairs + c[:, None]) - base).sum(0)
-            d = np.arange(classes)
             gain += h(pairs[d, d] + r + c + own) - h(pairs[d, d] + r) - h(pairs[d, d] + c) + base[d, d]
             gain -= h(rows + c + r.sum() + own) - h(rows + c)
             gain -= h(columns + r + c.sum() + own) - h(columns + r)
@@ -90,21 +105,21 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
             if new != old:
                 moved = True
                 of[w] = new
-                right[:, old] -= bigrams[:, w]
-                right[:, new] += bigrams[:, w]
-                left[:, old] -= bigrams[w]
-                left[:, new] += bigrams[w]
+                for table, order, ends, other in ((right, by_b, ends_b, a), (left, by_a, ends_a, b)):
+                    at = order[ends[w] : ends[w + 1]]
+                    table[other[at], old] -= n[at]
+                    table[other[at], new] += n[at]
         if not moved:
             break
     return of
 
 
 class Classes:
-    """Frequent words with classes 0 to CLASSES - 1; groups of other words follow, then the end, then the unknown word, then the start."""
+    """Frequent words with counts and classes 0 to fine - 1; groups of other words follow, then the end, then the unknown word, then the start."""
 
-    def __init__(self, words: list[bytes], of: np.ndarray, group_of_class: np.ndarray, follow: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, of: np.ndarray, group_of_class: np.ndarray, follow: np.ndarray):
         self.ids = {w: i for i, w in enumerate(words)}
-        self.of = np.asarray(of, dtype=np.int64)
+        self.counts, self.of = np.asarray(counts, dtype=np.int64), np.asarray(of, dtype=np.int64)
         self.groups = int(follow.shape[0])
         self.fine = int(self.of.max()) + 1 if len(self.of) else 0
         self.group_of_word = group_of_class[self.of] if len(self.of) else np.zeros(0, dtype=np.int64)
@@ -113,7 +128,9 @@ class Classes:
         self.width = self.start + 1
 
 
-def _frequent(docs: DataFrame, most: int) -> list[bytes]:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words of docs(text): counters of each task with all its words, handed on when large, and summed."""
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
         for b in batches:
@@ -124,100 +141,119 @@ def _frequent(docs: DataFrame, most: int) -> list[bytes]:
                     held = Counter()
         yield pd.DataFrame({"word": list(held), "n": list(held.values())}, columns=["word", "n"])
 
-    sums = docs.mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in sums.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return mapped(docs, counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _frequent(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
+    got = counts.orderBy(F.desc("n"), "word").limit(most).collect()
+    return [bytes(r["word"]) for r in got], [r["n"] for r in got]
+
+
+def _fold(keys: list, times: list) -> tuple[np.ndarray, np.ndarray]:
+    kinds, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return kinds, np.bincount(back, weights=np.concatenate(times), minlength=len(kinds)).astype(np.int64)
 
 
-def _bigrams(docs: DataFrame, words: list[bytes]) -> np.ndarray:
-    """Bigrams of frequent words over all training documents; whatever else stands between is the last row and column."""
-    ids, n = {w: i for i, w in enumerate(words)}, len(words) + 1
+def _bigrams(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, next word, count) of the bigrams of frequent words over all training documents."""
+    ids, n = {w: i for i, w in enumerate(words)}, len(words)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(n * n, dtype=np.int64)
+        keys, times = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for b in batches:
             for t in b["text"]:
-                seq = np.array([n - 1, *[ids.get(w, n - 1) for w in tokens(t)], n - 1])
-                pairs, counts = np.unique(seq[:-1] * n + seq[1:], return_counts=True)
-                total[pairs] += counts
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": at, "n": total[at]})
-
-    sums = docs.mapInPandas(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(n * n)
-    out[sums["pair"].to_numpy()] = sums["n"].to_numpy()
-    return out.reshape(n, n)
-
-
-def learn_classes(train: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, groups: int = GROUPS) -> Classes:
-    """train(text) to classes of its frequent words and groups for the others."""
-    words = _frequent(train, frequent)
-    matrix = _bigrams(train, words)[:-1, :-1]
-    of = exchange(matrix, classes)
+                seq = np.array([ids.get(w, n) for w in tokens(t)], dtype=np.int64)
+                both = np.flatnonzero((seq[:-1] < n) & (seq[1:] < n))
+                keys.append(seq[both] * n + seq[both + 1])
+                times.append(np.ones(len(both), dtype=np.int64))
+            if sum(map(len, keys)) > 2 * _HELD:
+                keys, times = ([x] for x in _fold(keys, times))
+        at, sums = _fold(keys, times)
+        yield pd.DataFrame({"pair": at, "n": sums})
+
+    sums = mapped(docs, counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # frequent words squared at most
+    pair = sums["pair"].to_numpy(dtype=np.int64)
+    return pair // max(n, 1), pair % max(n, 1), sums["n"].to_numpy(dtype=float)
+
+
+def learn_classes(train: DataFrame, frequent: int | None = None, classes: int | None = None, groups: int | None = None, counts: DataFrame | None = None) -> Classes:
+    """train(text) to classes of its frequent words and groups for the others; numbers that aren't named follow from the vocabulary."""
+    counts = word_counts(train) if counts is None else counts
+    if frequent is None or classes is None:
+        wanted = sizes_for(counts.count())
+        frequent, classes = frequent or wanted[0], classes or wanted[1]
+    words, times = _frequent(counts, frequent)
+    a, b, n = _bigrams(train, words)
+    of = exchange_pairs(a, b, n, len(words), classes)
     fine = int(of.max()) + 1 if len(of) else 0
-    member = np.eye(fine)[of] if fine else np.zeros((0, 0))
-    between = member.T @ matrix @ member if fine else np.zeros((0, 0))
-    coarse = exchange(between, groups) if groups < fine else np.arange(fine)
+    between = np.bincount(of[a] * fine + of[b], weights=n, minlength=fine * fine).reshape(fine, fine) if fine else np.zeros((0, 0))
+    coarse = exchange(between, groups) if groups and groups < fine else np.arange(fine)
     k = int(coarse.max()) + 1 if len(coarse) else 1
     fold = np.eye(k)[coarse] if fine else np.zeros((0, k))
     near = fold.T @ (between + between.T) @ fold + 1.0 if fine else np.ones((1, 1))
-    return Classes(words, of, coarse, np.log(near / near.sum(1, keepdims=True)))
+    return Classes(words, np.array(times), of, coarse, np.log(near / near.sum(1, keepdims=True)))
 
 
-def _block_words(tagged: DataFrame, model: Classes) -> DataFrame:
-    """(block, h, n, near): each distinct word of a block, its count in training documents and its neighbours' groups there, as longs (count << 16 | group)."""
-    k = model.groups
+BLOCKS = "block long, doc_id long, held_out boolean, seq binary, h long, n long, local int, near binary"
 
-    def flush(block: int, ids: dict, parts: list) -> pd.DataFrame:
+
+def _blocks(rows: DataFrame, model: Classes, block_bytes: int) -> DataFrame:
+    """Of each block, its documents (seq, the word numbers) and its words that aren't frequent.
+
+    A word has its hash h, its number in the block (local), its count in the block's training
+    documents and the groups of its neighbours there, as longs (count << 16 | group). Numbers
+    below the count of frequent words are theirs.
+    """
+    k, least = model.groups, len(model.ids)
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def words_of(block: int, ids: dict, parts: list) -> pd.DataFrame:
         n = len(ids)
-        count, keys, times = np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        names = [word_hash(w) for w, _ in zip(reversed(ids), range(n - least), strict=False)][::-1]
         group = np.full(n + 1, -1)
-        for w, i in model.ids.items():
-            if w in ids:
-                group[ids[w]] = model.group_of_word[i]
-        for seq in parts:
-            count += np.bincount(seq[seq < n], minlength=n)
-            for here, there in ((seq[1:], seq[:-1]), (seq[:-1], seq[1:])):
-                g = group[there]
-                ok = (g >= 0) & (here < n)
-                more, of = np.unique(here[ok] * k + g[ok], return_counts=True)
-                keys, back = np.unique(np.concatenate([keys, more]), return_inverse=True)
-                times = np.bincount(back, weights=np.concatenate([times, of]), minlength=len(keys)).astype(np.int64)
-        packed = (times << 16 | keys % k).astype("<i8").tobytes()
-        ends = np.searchsorted(keys, np.arange(n + 1) * k).tolist()
-        near = [packed[8 * a : 8 * z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
-        return pd.DataFrame({"block": block, "h": np.array([word_hash(w) for w in ids], dtype=np.int64), "n": count.astype(np.int32), "near": near})
-
-    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, ids, parts, held = None, {}, [], []
-        gap = 1 << 40
-
-        def pack_up():
-            parts.append(np.array(held, dtype=np.int64))
-            held.clear()
+        group[:least] = held.value.group_of_word
+        seq = np.concatenate([x for p in parts for x in (p, [n])]) if parts else np.zeros(0, dtype=np.int64)
+        count = np.bincount(seq, minlength=n + 1)[least:n]
+        keys, times = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for here, there in ((seq[1:], seq[:-1]), (seq[:-1], seq[1:])):
+            g = group[there]
+            ok = (g >= 0) & (here < n) & (here >= least)
+            more, of = np.unique((here[ok] - least) * k + g[ok], return_counts=True)
+            keys.append(more)
+            times.append(of)
+        key, total = _fold(keys, times)
+        packed = (total << 16 | key % k).astype("<i8").tobytes()
+        ends = np.searchsorted(key, np.arange(n - least + 1) * k).tolist()
+        near = [packed[8 * x : 8 * y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        return pd.DataFrame({"block": block, "doc_id": pd.array([None] * len(names), dtype="Int64"), "held_out": None, "seq": None, "h": np.array(names, dtype=np.int64), "n": count, "local": np.arange(len(names), dtype=np.int32), "near": near})
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, ids, parts, docs, size = TaskContext.get().partitionId() << 32, dict(held.value.ids), [], [], 0
+
+        def done() -> Iterator[pd.DataFrame]:
+            none = pd.array([None] * len(docs), dtype="Int64")
+            seqs = [x.astype("<i4").tobytes() for _, _, x in docs]
+            yield pd.DataFrame({"block": block, "doc_id": pd.array([i for i, _, _ in docs], dtype="Int64"), "held_out": [o for _, o, _ in docs], "seq": seqs, "h": none, "n": none, "local": none, "near": None})
+            yield words_of(block, ids, parts)
 
         for b in batches:
-            for block, out, t in zip(b["block"], b["held_out"], b["text"], strict=True):
-                if block != now:
-                    if ids:
-                        pack_up()
-                        yield flush(now, ids, [np.where(p == gap, len(ids), p) for p in parts])
-                    now, ids, parts = block, {}, []
-                words = tokens(t)
-                numbers = [ids.setdefault(w, len(ids)) for w in words]
+            for i, out, t in zip(b["doc_id"].astype("Int64"), b["held_out"], b["text"], strict=True):
+                seq = np.array([ids.setdefault(w, len(ids)) for w in tokens(t)], dtype=np.int64)
+                docs.append((None if i is pd.NA else i, bool(out), seq))
+                size += len(t)
                 if not out:
-                    held += numbers
-                    held.append(gap)
-                    if len(held) > 1_000_000:
-                        pack_up()
-        if ids:
-            pack_up()
-            yield flush(now, ids, [np.where(p == gap, len(ids), p) for p in parts])
+                    parts.append(seq)
+                if size > block_bytes:
+                    yield from done()
+                    block, ids, parts, docs, size = block + 1, dict(held.value.ids), [], [], 0
+        if docs:
+            yield from done()
 
-    return tagged.mapInPandas(distinct, "block long, h long, n int, near binary")
+    return mapped(rows, cut, BLOCKS)
 
 
 def _placed_words(found: DataFrame, model: Classes) -> DataFrame:
-    """(block, h, n, of, first): words of blocks with their counts over all blocks and the groups that all their neighbours favour."""
+    """(block, local, h, n, of, first): words of blocks with their counts over all blocks and the groups that all their neighbours favour."""
     k, follow = model.groups, model.follow
 
     def decided(rows: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +264,7 @@ def _placed_words(found: DataFrame, model: Classes) -> DataFrame:
         at = np.repeat(word, rows["near"].str.len().to_numpy(dtype=np.int64) // 8) * k + (packed & 0xFFFF)
         near = np.bincount(at, weights=packed >> 16, minlength=(word[-1] + 1) * k).reshape(-1, k)
         n = np.add.reduceat(rows["n"].to_numpy(dtype=np.int64), np.flatnonzero(first))
-        return pd.DataFrame({"block": rows["block"], "h": h, "n": n[word], "of": (near @ follow).argmax(1)[word], "first": first})
+        return pd.DataFrame({"block": rows["block"], "local": rows["local"], "h": h, "n": n[word], "of": (near @ follow).argmax(1)[word], "first": first})
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -242,37 +278,30 @@ def _placed_words(found: DataFrame, model: Classes) -> DataFrame:
         if rest is not None and len(rest):
             yield decided(rest)
 
-    return found.repartition("h").sortWithinPartitions("h", "block").mapInPandas(placed, "block long, h long, n long, of int, first boolean")
+    rows = found.select("block", "local", "h", "n", "near").repartition("h").sortWithinPartitions("h", "block")
+    return mapped(rows, placed, "block long, local int, h long, n long, of int, first boolean")
 
 
 def _block_sums(model: Classes):
     """For cogrouped documents and words of a block: each document's sums, and what the block's words add to the vocabulary."""
 
     def summed(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(words["h"].tolist(), range(len(words)), strict=True))
-        count, of = words["n"].to_numpy(dtype=np.float64), words["of"].to_numpy(dtype=np.int64)
-        first = words["first"].to_numpy(dtype=bool) & (count > 0)
-        top = {word_hash(w): int(model.of[i]) for w, i in model.ids.items()}
-        kind = np.where(count > 0, model.fine + of, model.unknown)
-        for h, c in top.items():
-            if h in known and count[known[h]] > 0:
-                kind[known[h]] = c
-        types = np.bincount(kind[first], minlength=model.width)
-        cache: dict[bytes, int] = {}
+        at = words["local"].to_numpy(dtype=np.int64)
+        n, of = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        n[at], of[at] = words["n"].to_numpy(dtype=np.int64), words["of"].to_numpy(dtype=np.int64)
+        count = np.concatenate([model.counts, n]).astype(np.float64)
+        kind = np.concatenate([model.of, np.where(n > 0, model.fine + of, model.unknown)])
+        first = words["first"].to_numpy(dtype=bool) & (words["n"].to_numpy(dtype=np.int64) > 0)
+        types = np.bincount(kind[len(model.of) + at[first]], minlength=model.width)
+        base, emit = np.log10(count + 0.1), np.where(count > 0, np.log10(np.maximum(count, 1) - DISCOUNT), 0.0)
         rows = []
-        for i, (doc_id, out, t) in enumerate(zip(docs["doc_id"], docs["held_out"], docs["text"], strict=True)):
-            places = []
-            for w in tokens(t):
-                at = cache.get(w)
-                if at is None:
-                    at = cache[w] = known[word_hash(w)]
-                places.append(at)
-            at = np.array(places, dtype=np.int64)
-            c = count[at]
-            seq = np.concatenate([[model.start], kind[at], [model.end]])
-            pairs, times = np.unique(seq[:-1] * model.width + seq[1:], return_counts=True)
-            rows.append((doc_id, bool(out), len(at) + 1, int((c > 0).sum()), float(np.log10(c + 0.1).sum()), float(np.log10(c[c > 0] - DISCOUNT).sum()), pairs.astype(np.int32), times.astype(np.int32), types.tolist() if i == 0 else None))
-        return pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "emit_sum", "pairs", "times", "types"])
+        for i, (doc_id, out, raw) in enumerate(zip(docs["doc_id"].astype("Int64"), docs["held_out"], docs["seq"], strict=True)):
+            seq = np.frombuffer(raw, dtype="<i4")
+            classes = np.concatenate([[model.start], kind[seq], [model.end]])
+            pairs, times = np.unique(classes[:-1] * model.width + classes[1:], return_counts=True)
+            rows.append((None if doc_id is pd.NA else doc_id, bool(out), len(seq) + 1, int((count[seq] > 0).sum()), float(base[seq].sum()), float(emit[seq].sum()), pairs.astype(np.int32), times.astype(np.int32), types.tolist() if i == 0 else None))
+        give_back()
+        return pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "emit_sum", "pairs", "times", "types"]).astype({"doc_id": "Int64"})
 
     return summed
 
@@ -280,21 +309,21 @@ def _block_sums(model: Classes):
 SUMS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, emit_sum double, pairs array<int>, times array<int>, types array<long>"
 
 
-def score_texts(docs: DataFrame, out_of_training: Column, *, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT, classes: int = CLASSES, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
+def score_texts(docs: DataFrame, out_of_training: Column, *, key: str = "doc_id", text: str = "text", frequent: int | None = None, classes: int | None = None, groups: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
 
     Nulls: a null text is an empty one, just its end; ids are integers or null. Repeated rows are
-    trained on and scored each. Very long texts are read whole. Without training documents every
-    word is unknown. An empty table gives an empty result. Other columns aren't returned. The
-    input must be a stored table or a plan over one (a block is a run of its rows).
+    trained on and scored each. Very long texts are read whole; a block holds one at least. Words
+    of one count are taken in byte order. Without training documents every word is unknown. An
+    empty table gives an empty result. Other columns aren't returned.
     """
     rows = docs.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"), out_of_training.alias("held_out"))
-    model = learn_classes(rows.where(~F.col("held_out")).select("text"), frequent, classes, groups)
-    place = F.monotonically_increasing_id()
-    tagged = rows.withColumn("place", place).select("doc_id", "text", "held_out", (F.shiftright("place", 33) * F.lit(1 << 33) + F.floor(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) / block)).cast("long").alias("block"))
-
-    placed = _placed_words(_block_words(tagged, model), model)
-    sums = tagged.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(_block_sums(model), SUMS)
+    train = rows.where(~F.col("held_out")).select("text")
+    model = learn_classes(train, frequent, classes, groups, written(word_counts(train), "words"))
+    blocks = written(_blocks(rows, model, block_bytes), "blocks")
+    placed = _placed_words(blocks.where("seq is null"), model)
+    texts = blocks.where("seq is not null").select("block", "doc_id", "held_out", "seq")
+    sums = texts.groupBy("block").cogroup(placed.select("block", "local", "n", "of", "first").groupBy("block")).applyInPandas(_block_sums(model), SUMS)
     sums = written(sums, "sums")
 
     def transitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,11 +337,12 @@ def score_texts(docs: DataFrame, out_of_training: Column, *, key: str = "doc_id"
         at, kinds = np.flatnonzero(total), np.flatnonzero(types)
         yield pd.DataFrame({"pair": np.concatenate([at, -1 - kinds]), "n": np.concatenate([total[at], types[kinds]])})
 
-    got = sums.select("held_out", "pairs", "times", "types").mapInPandas(transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # width squared rows at most
+    got = mapped(sums.select("held_out", "pairs", "times", "types"), transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # width squared rows at most
     table, types = np.zeros(model.width**2), np.zeros(model.width)
     pair, n = got["pair"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.float64)
     table[pair[pair >= 0]] = n[pair >= 0]
     types[-1 - pair[pair < 0]] = n[pair < 0]
+    types += np.bincount(model.of, minlength=model.width)
     table = table.reshape(model.width, model.width)
     size = table.sum(0)
     total, ends = float(size.sum()), float(size[model.end])
@@ -320,10 +350,8 @@ def score_texts(docs: DataFrame, out_of_training: Column, *, key: str = "doc_id"
     base_rest, end_base = np.log10(total + 0.1 * (vocabulary + 1)), np.log10(ends + 0.1)
     logs = _log_transitions(model, table, size, types)
 
-    @F.pandas_udf("double")
-    def class_score(pairs: pd.Series, times: pd.Series) -> pd.Series:
-        return pd.Series([float(logs[p] @ t) for p, t in zip(pairs, times, strict=True)], dtype="float64")
-
+    kernel = lambda pairs, times: pd.Series([float(logs[p] @ t) for p, t in zip(pairs, times, strict=True)], dtype="float64")
+    class_score = column_of(docs.sparkSession, kernel, "double")
     return sums.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base_sum") + F.lit(float(end_base)) - F.col("n_tokens") * F.lit(float(base_rest))).alias("base_score"),
@@ -346,5 +374,3 @@ def _log_transitions(model: Classes, table: np.ndarray, size: np.ndarray, types:
     out[:, model.end] = np.log10(np.maximum(mixed[:, model.end], 1e-12))
     out[:, model.unknown] = np.log10(unknown)
     return out.reshape(-1)
-
-
