@@ -102,8 +102,12 @@ ends as (
     case when regexp_extract(u, '^.*?://[^/?#]*([^#]*)', 1, 's') = '' then '/' else regexp_extract(u, '^.*?://[^/?#]*([^#]*)', 1, 's') end as b
   from whole),
 links as (select a, b from ends union select b, a from ends),
+ends_of as (select distinct a as node, regexp_extract(a, '^([^/?#]*)', 1, 's') as h0, regexp_extract(a, '^[^/?#]*([^?#]*)', 1, 's') as p0 from links),
+bad as (
+  select node from ends_of join rules on (h0 = h or ends_with(h0, '.' || h)) and starts_with(p0, p)
+  group by node having max_by(v, length(h || p)) = 'block'),
 reached as (
-  select distinct node from judged where v = 'block'
+  select node from bad
   union
   select links.b from reached join links on reached.node = links.a)
 select page_id, host, path, rule, coalesce(v, case when node in (select node from reached) then 'block' end, 'allow') as verdict from judged

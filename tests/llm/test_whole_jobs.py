@@ -1,10 +1,14 @@
 """Cases in which the training-data operators once did less than the whole job."""
 
+import re
+from collections import Counter, defaultdict
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siglake.llm import brown, decontam, html_text, jaccard_join, mixing, quality, sharding, urls
+from siglake.llm import brown, decontam, html_text, jaccard_join, mixing, quality, queries, sharding, urls
 
 
 def test_edited_copies_leak_however_many_there_are(spark):
@@ -49,13 +53,16 @@ def test_words_outside_the_frequent_ones_reach_a_group_for_every_class(spark):
     train = spark.createDataFrame(rows, "text string")
     model = brown.learn_classes(train, frequent=24, classes=12)
     assert model.groups == model.fine == 12
-    tagged = train.coalesce(1).selectExpr("cast(hash(text) % 2 as long) block", "false held_out", "text").sortWithinPartitions("block")
-    got = {(r["block"], r["h"]): r for r in brown._placed_words(brown._block_words(tagged, model), model).collect()}
+    rows = train.coalesce(1).selectExpr("cast(null as long) doc_id", "false held_out", "text")
+    blocks = brown._blocks(rows, model, 2_000)
+    assert blocks.where("seq is not null").count() == 60 and blocks.select("block").distinct().count() > 3
+    placed = brown._placed_words(blocks.where("seq is null"), model).collect()
+    got = {(r["block"], r["h"]): r for r in placed}
     of = {(i, r["of"]) for i in range(12) for j in range(5) for (_, h), r in got.items() if h == brown.word_hash(f"rare{i}x{j}".encode())}
     groups = {i: {g for k, g in of if k == i} for i in range(12)}
     near = {i: {int(model.follow[[model.group_of_word[model.ids[w]] for w in (f"a{i}".encode(), f"b{i}".encode())]].sum(0).argmax())} for i in range(12)}
     assert groups == near and len(set().union(*groups.values())) > 6
-    assert {r["n"] for (_, h), r in got.items() if h == brown.word_hash(b"a0")} == {105} and sum(r["first"] for r in got.values()) == len({h for _, h in got})
+    assert model.counts.tolist() == [105] * 24 and sum(r["first"] for r in got.values()) == len({h for _, h in got}) == 60
 
 
 def test_frequent_words_are_counted_whole(spark):
@@ -64,7 +71,53 @@ def test_frequent_words_are_counted_whole(spark):
             yield (" ".join(f"p{part}w{i} p{part}w{i}" for i in range(4_100)) + " everywhere",)
 
     docs = spark.createDataFrame(spark.sparkContext.parallelize(range(6), 6).mapPartitions(texts), "text string")
-    assert brown._frequent(docs, 1) == [b"everywhere"]
+    assert brown._frequent(brown.word_counts(docs), 1) == ([b"everywhere"], [6])
+
+
+def test_class_scores_are_products_of_probabilities_that_sum_to_one(spark):
+    """Every word is frequent here: the score by the formula, word by word, and the sum over all words after each word."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 30, 40)) for _ in range(50)] + ["", "w1 new w2", "new other"]
+    rows = spark.createDataFrame([(i, t, i >= 50) for i, t in enumerate(texts)], "doc_id long, text string, out boolean")
+    train = rows.where("not out").select("text")
+    model = brown.learn_classes(train, 100, 6)
+    assert len(model.ids) == 30 and model.fine == 6
+    counts, pairs = Counter(), Counter()
+    kind = lambda w: model.start if w is None else model.end if w is False else int(model.of[model.ids[w]]) if w in model.ids else model.unknown
+    for t in texts[:50]:
+        words = [None, *t.encode().split(), False]
+        counts.update(words[1:])
+        pairs.update((kind(x), kind(y)) for x, y in zip(words, words[1:], strict=False))
+    size = Counter()
+    for w, n in counts.items():
+        size[kind(w)] += n
+    types = Counter(kind(w) for w in counts if w is not False)
+    total = sum(size.values())
+    share = {c: (size[c] + 1e-3 if c not in (model.start, model.unknown) else 0.0) for c in range(model.width)}
+    share = {c: v / sum(share.values()) for c, v in share.items()}
+
+    def step(before, c):
+        if before == model.unknown:
+            return share[c]
+        return (pairs[before, c] + brown.MIX * share[c]) / (sum(pairs[before, x] for x in range(model.width)) + brown.MIX)
+
+    def chance(before, word):
+        b, c = kind(before), kind(word)
+        if c == model.unknown:
+            return max(0.1 / (total + 1), sum(step(b, x) * brown.DISCOUNT * types[x] / size[x] for x in range(model.fine)))
+        return step(b, c) * (1 if word is False else (counts[word] - brown.DISCOUNT) / size[c])
+
+    for before in (None, b"w1", b"w7", b"new"):
+        assert sum(chance(before, w) for w in [*model.ids, False, b"new"]) == pytest.approx(1, abs=1e-3)
+    got = {r["doc_id"]: r["score"] for r in brown.score_texts(rows, F.col("out"), frequent=100, classes=6, block_bytes=700).collect()}
+    for i, t in enumerate(texts):
+        words = [None, *t.encode().split(), False]
+        assert got[i] == pytest.approx(sum(np.log10(chance(x, y)) for x, y in zip(words, words[1:], strict=False)), abs=1e-6)
+
+
+def test_clustered_words_and_classes_grow_with_the_vocabulary():
+    sizes = [brown.sizes_for(v) for v in (0, 10**5, 10**7, 10**9)]
+    assert sizes == sorted(sizes) and len(set(sizes[1:])) == 3
 
 
 def test_a_blocked_target_that_is_no_page_blocks_its_aliases(spark):
@@ -78,6 +131,55 @@ def test_a_blocked_target_that_is_no_page_blocks_its_aliases(spark):
         assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, rules).collect()} == want
 
 
+def alias_pages(spark):
+    """Chains, hubs, cycles and targets outside the table, over hosts that rules fit or not."""
+    rng = np.random.default_rng(9)
+    hosts = ["a.org", "B.net", "c.com", "www.example.com", "example.com", "d.net", "e.org"]
+    paths = ["", "/", "/es/1", "/fr/", "/en/x", "/p?q=1", "/fr"]
+    url = lambda: f"http://{hosts[rng.integers(len(hosts))]}{paths[rng.integers(len(paths))]}" if rng.random() < 0.5 else f"https://e.org/n{rng.integers(400)}"
+    rows = []
+    for i in range(600):
+        target = ["", f'<link rel="canonical" href="{url()}">', f'<meta http-equiv=refresh content="0; url={url()}">', '<link href="/hub" rel="canonical">', '<LINK REL=canonical HREF="//d.net/es/out">'][int(rng.choice(5, p=[0.5, 0.25, 0.2, 0.03, 0.02]))]
+        rows.append((i, url() if i % 50 else None, f"<html>{target}</html>" if i % 7 else None))
+    rows += [(1000 + i, f"http://x.org/{i}", f'<link rel=canonical href="http://x.org/{i + 1}">') for i in range(40)] + [(2000, "http://x.org/40", '<link rel=canonical href="http://x.org/0">'), (2001, "http://x.org/20", '<link rel=canonical href="http://d.net/es/z#f">')]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_url_verdicts_against_brute_force_and_sql(spark, tmp_path):
+    pages = alias_pages(spark)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages).collect()}
+    rows = [(r["page_id"], r["url"] or "") for r in pages.collect()]
+
+    def parts(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    def best(host, path):
+        fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits) if fits else (0, None, None)
+
+    edges = defaultdict(set)
+    for r in urls.alias_edges(pages).collect():
+        edges[r["a"]].add(r["b"])
+        edges[r["b"]].add(r["a"])
+    bad = [n for n in edges if best(*parts("http://" + n))[2] == "block"]
+    reached = set(bad)
+    while bad:
+        bad = [m for n in bad for m in edges[n] if m not in reached and not reached.add(m)]
+    assert len(reached) > 40
+
+    def node(url):
+        host, rest = parts(url)[0], (re.match(r"(?s).*?://[^/?#]*([^#]*)", url) or [None, ""])[1]
+        return host and host + (rest or "/")
+
+    want = {i: (best(*parts(u))[1], best(*parts(u))[2] or ("block" if node(u) in reached else "allow")) for i, u in rows}
+    assert got == want and sum(r is None and v == "block" for r, v in got.values()) > 40
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: (r[3], r[4]) for r in con.execute(queries.oracle_sql()["op9_url_filter"]).fetchall()} == got
+
+
 @pytest.mark.parametrize("broadcast", [1_000_000, 0])
 def test_layouts_of_few_pages_of_a_host_are_templates(spark, monkeypatch, broadcast):
     monkeypatch.setattr(html_text, "BROADCAST_TOKENS", broadcast)
