@@ -6,19 +6,26 @@ stands in each page) is folded into one number, an exclusive or of hashes of (pa
 which partial aggregates combine on the map side: no group of pages is ever gathered. Tokens
 of a host with the same vector form an equivalence class. A class is valid if it has several
 tokens and its pages are a given share of the host's, or SUPPORT at least, or if tags are among
-its tokens (a layout of few pages of a large host); the tokens of all valid classes make up the
-template of the host. Small templates are broadcast, others joined to the tokens of each page.
-(A token's path is part of it; classes aren't nested in each other.) What stands between template tokens are slots: text that is a
-template token goes. Of the slots, those in menus, forms, notices and the like go. If the page
-has an article or main element, by the template or else by its name, all its other slots are
-the main text; else the part of the page with the densest text is taken.
+its tokens (a layout of few pages of a large host).
+
+In a page, valid classes nest into the template: a token of a class stands in a gap of the class
+around it (the next template element above of another class, or none). Of a class, only what fills a
+gap with several tokens or a tag is template there; a text that stands alone in its gap is not.
+What stands between template tokens are slots. A slot is known by its element; its texts that
+vary over the host (in under MIN_PAGES pages each) give it a weight, their length a page.
+
+The main text is chosen among the slots: those below the article or main elements, if there are
+any; else those below the element with the most text, here and over the host's pages. Slots in
+menus, forms, notices, comments and the like go, by elements, roles and the names of containers.
+Templates and weights of up to BROADCAST_TOKENS tokens are broadcast, others joined to the
+tokens of each page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglake.llm.common import pack, quoted, unpack, written
+from siglake.llm.common import column_of, mapped, pack, quoted, unpack, written
 from siglake.llm.urls import url_host
 
 #: Element names and words in class, id and role.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "math", "select"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "msqrt", "msub", "msup", "mtext", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "menu", "menubar", "alert", "alertdialog"}
@@ -41,15 +48,20 @@ OUTSIDE_WORDS = {
     "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "related", "reply", "replies", "search", "share", "sharing",
     "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget",
 }
+#: Words that tell inside an article too; the others must be a whole class or id there.
+PLAIN_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "disqus", "newsletter", "pagination", "promo", "sponsored"}
+#: Elements whose class and id tell what they hold; those of headings, paragraphs and tables name their own text.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "header", "fieldset", "figure", "center", "details"}
 SPACE = re.compile(r"\s+")
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = r"""[^\s=>/][^\s=>/]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|{_ATTRIBUTE})*+)>|<[!?/][^>]*>", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=>/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 #: A template token stands in this share of the host's pages, and in MIN_PAGES at least.
 SHARE, MIN_PAGES, MIN_TOKENS = 0.3, 4, 2
 #: Pages in which a token is template however large its host is.
 SUPPORT = 20
-#: Templates up to this number of tokens in all are broadcast (8 bytes each).
-BROADCAST_TOKENS = 1_000_000
+#: Template tokens and slots up to this number in all are broadcast (some 100 bytes each on the driver).
+BROADCAST_TOKENS = 500_000
 
 
 class _Block:
@@ -67,8 +79,12 @@ def _words(attributes: dict) -> frozenset:
     return frozenset(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())) - {""}
 
 
+def _names(attributes: dict) -> frozenset:
+    return frozenset(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split())
+
+
 def parse(page: str) -> tuple[list[str], list[_Block]]:
-    """Tag tokens and blocks of text, in page order. stack: (element, words, role, serial) from the root on."""
+    """Tag tokens and blocks of text, in page order. stack: (element, words, role, serial, path, names) from the root on."""
     tags: list[str] = []
     blocks: list[_Block] = []
     stack: list[tuple] = []
@@ -137,7 +153,7 @@ def parse(page: str) -> tuple[list[str], list[_Block]]:
                 say(" ")
                 continue
         if name in INLINE:
-            stack.append((name, frozenset(), "", 0))
+            stack.append((name, frozenset(), "", 0, "", frozenset()))
             continue
         flush()
         if name in VOID:
@@ -159,8 +175,11 @@ def parse(page: str) -> tuple[list[str], list[_Block]]:
         attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])} if "=" in m[3] else {}
         serial += 1
         if not m[3].endswith("/") or name not in VOID:
-            stack.append((name, _words(attributes), attributes.get("role", "").lower(), serial))
-        repath()
+            words = _words(attributes)
+            path = _path([*stack, (name, words)])
+            stack.append((name, words, attributes.get("role", "").lower(), serial, path, _names(attributes)))
+        else:
+            repath()
         tags.append(f"{path}<")
     if at < len(page):
         say(page[at:])
@@ -181,98 +200,162 @@ def token_hash(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
-def page_tokens(page: str) -> list[tuple[int, int, bool]]:
-    """The distinct tokens of a page: hash, times and whether it is a tag."""
+class _Hashes(dict):
+    """Paths to the hashes of their opening tags, filled as they are asked for."""
+
+    def __missing__(self, path: str) -> int:
+        if len(self) > 50_000:
+            self.clear()
+        h = self[path] = token_hash(path + "<", "")
+        return h
+
+
+_OPENING = _Hashes()
+
+
+def page_tokens(page: str) -> list[tuple[int, int, bool, int, int]]:
+    """The distinct tokens of a page: hash, times, whether it is a tag, and for a text its slot and its letters outside links."""
     tags, blocks = parse(page)
-    texts = Counter(token_hash(b.path, b.text) for b in blocks)
-    return [*((t, n, True) for t, n in Counter(token_hash(t, "") for t in tags).items()), *((t, n, False) for t, n in texts.items())]
+    texts: dict = {}
+    for b in blocks:
+        mine = texts.setdefault(token_hash(b.path, b.text), [0, False, _OPENING[b.path], 0])
+        mine[0] += 1
+        mine[3] += max(len(b.text) - b.linked, 0)
+    return [*((t, n, True, 0, 0) for t, n in Counter(token_hash(t, "") for t in tags).items()), *((t, *x) for t, x in texts.items())]
 
 
 def _is_outside(stack: tuple, inner: bool) -> bool:
     """Whether a block stands in a menu, footer and the like; inner: below the article, whose own header counts as its part."""
-    for name, words, role, _ in stack:
+    for name, words, role, _, _, names in stack:
         if name in ("html", "body", "article", "main") or role == "main":
             continue
         if name in OUTSIDE or role in OUTSIDE_ROLES or (name == "header" and not inner):
             return True
-        if words & OUTSIDE_WORDS and not (inner and words & OUTSIDE_WORDS == {"header"}):
-            return True
+        if name in CONTAINERS and (found := words & OUTSIDE_WORDS):
+            if not inner or found & PLAIN_WORDS or (names & OUTSIDE_WORDS) - {"header"}:
+                return True
     return False
 
 
-def main_text(page: str, template: set) -> list[str]:
-    """The blocks of the article, in page order. template: hashes of the host's template tokens."""
+def template_texts(blocks: list[_Block], template: dict, min_tokens: int = MIN_TOKENS) -> set[int]:
+    """Hashes of the texts of a page that are template, by nesting its classes. template: token to class."""
+    filled: dict = defaultdict(set)  # (class, gap): tokens
+    tagged, texts, seen = set(), [], set()
+
+    def gap(of: int, above: list[int]) -> int:
+        return next((t for t in reversed(above) if template.get(t) not in (None, of)), 0)
+
+    for b in blocks:
+        chain = [_OPENING[x[4]] for x in b.stack]
+        for i, t in enumerate(chain):
+            if t not in seen and t in template:
+                seen.add(t)
+                place = template[t], gap(template[t], chain[:i])
+                filled[place].add(t)
+                tagged.add(place)
+        t = token_hash(b.path, b.text)
+        if t in template:
+            place = template[t], gap(template[t], chain)
+            filled[place].add(t)
+            texts.append((t, place))
+    return {t for t, place in texts if place in tagged or len(filled[place]) >= min_tokens}
+
+
+def main_text(page: str, template: dict, weights: dict, min_tokens: int = MIN_TOKENS) -> list[str]:
+    """The blocks of the article, in page order. template: classes of the host's template tokens; weights: of its slots."""
     _, blocks = parse(page)
-    slots = [b for b in blocks if token_hash(b.path, b.text) not in template]
+    fixed = template_texts(blocks, template, min_tokens)
+    slots = [b for b in blocks if token_hash(b.path, b.text) not in fixed]
     free = {id(b) for b in slots}
 
-    def below(pick, checked: bool) -> list[_Block]:
-        """Blocks under the element that pick names, the one with the most text if there are several.
-
-        checked: the element's tag must be a template token. Only slots are taken; where there
-        are none (pages that are copies of each other), all blocks.
-        """
+    def below(pick) -> list[_Block]:
+        """Slots under the elements that pick names: those at the place of the one with the most text. All blocks, if all are template (pages that are copies of each other)."""
         size: Counter = Counter()
-        roots = {}
+        roots = defaultdict(list)
         for b in blocks:
             i = next((i for i, x in enumerate(b.stack) if pick(x)), None)
-            if i is not None and checked and token_hash(_path(b.stack[: i + 1]) + "<", "") not in template:
-                continue
             if i is not None and not _is_outside(b.stack[:i], False) and not _is_outside(b.stack[i + 1 :], True):
-                size[b.stack[i][3]] += len(b.text) - b.linked
-                roots.setdefault(b.stack[i][3], []).append(b)
+                place = b.stack[i][4], b.stack[i - 1][3] if i else 0  # siblings of one kind
+                size[place] += max(len(b.text) - b.linked, 0)
+                roots[place].append(b)
         if not size:
             return []
         found = roots[size.most_common(1)[0][0]]
         return [b for b in found if id(b) in free] or found
 
-    for checked in (True, False):
-        for pick in (lambda x: x[0] == "article", lambda x: x[0] == "main" or x[2] == "main"):
-            if found := below(pick, checked):
-                return [b.text for b in found]
+    for pick in (lambda x: x[0] == "article", lambda x: x[0] == "main" or x[2] == "main"):
+        if found := below(pick):
+            return [b.text for b in found]
     inside = [b for b in slots if not _is_outside(b.stack, False) and b.linked * 2 <= max(len(b.text), 1)]
     if not inside:
         return []
     weight: Counter = Counter()
     for b in inside:
+        size = len(b.text) + weights.get(_OPENING[b.path], 0.0)
         for depth, x in enumerate(b.stack[-3:]):
-            weight[x[3]] += len(b.text) * (depth + 3)
+            weight[x[3]] += size * (depth + 3)
     best = weight.most_common(1)[0][0]
     return [b.text for b in inside if any(x[3] == best for x in b.stack)]
 
 
-def host_templates(pages: DataFrame, share: float, min_pages: int, min_tokens: int) -> DataFrame:
-    """pages(host, html, pid) to (host, token), the template tokens of each host."""
+def host_tokens(pages: DataFrame) -> DataFrame:
+    """pages(host, html, pid) to (host, token, pages, vector, tag, slot, chars): the tokens of each host."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held: dict = {}
             for host, body, pid in zip(batch["host"], batch["html"], batch["pid"], strict=True):
-                for token, n, tag in page_tokens(body or ""):
-                    mine = held.setdefault((host, token), [0, 0, tag])
+                for token, n, tag, slot, chars in page_tokens(body or ""):
+                    mine = held.setdefault((host, token), [0, 0, tag, slot, 0])
                     mine[0] += 1
                     mine[1] ^= xxhash.xxh64_intdigest(f"{pid}|{n}") >> 1
-            yield pd.DataFrame([(h, t, *x) for (h, t), x in held.items()], columns=["host", "token", "pages", "vector", "tag"])
+                    mine[4] += chars
+            yield pd.DataFrame([(h, t, *x) for (h, t), x in held.items()], columns=["host", "token", "pages", "vector", "tag", "slot", "chars"])
 
-    seen = pages.mapInPandas(tokens, "host string, token long, pages long, vector long, tag boolean")
-    seen = seen.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.max("tag").alias("tag"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    seen = mapped(pages, tokens, "host string, token long, pages long, vector long, tag boolean, slot long, chars long")
+    sums = F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.max("tag").alias("tag"), F.max("slot").alias("slot"), F.sum("chars").alias("chars")
+    return seen.groupBy("host", "token").agg(*sums)
+
+
+def host_templates(seen: DataFrame, sizes: DataFrame, share: float, min_pages: int, min_tokens: int) -> DataFrame:
+    """The tokens of hosts and sizes(host, of) to (host, token, cls): the tokens of valid classes, each class known by its vector.
+
+    Tokens of equal vectors are one class, whatever their order; hosts without a valid class, and
+    empty tables, have no rows.
+    """
     common = seen.where(F.col("pages") >= min_pages).join(sizes, "host")
     classes = common.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"), F.max("pages").alias("pages"), F.max("of").alias("of"), F.max("tag").alias("tag"))
     valid = (F.size("tokens") >= min_tokens) & ((F.col("pages") >= F.col("of") * share) | (F.col("pages") >= SUPPORT) | F.col("tag"))
-    return classes.where(valid).select("host", F.explode("tokens").alias("token"))
+    return classes.where(valid).select("host", F.explode("tokens").alias("token"), F.col("vector").alias("cls"))
+
 
+def slot_weights(seen: DataFrame, sizes: DataFrame, min_pages: int) -> DataFrame:
+    """(host, token, weight): letters a page of the texts that vary over a host, by the element they stand in."""
+    varying = seen.where(~F.col("tag") & (F.col("pages") < min_pages)).groupBy("host", F.col("slot").alias("token")).agg(F.sum("chars").alias("chars"))
+    return varying.join(sizes, "host").select("host", "token", (F.col("chars") / F.col("of")).alias("weight"))
 
-def _page_templates(hosted: DataFrame, template: DataFrame) -> DataFrame:
-    """(page, template): the template tokens of each distinct page of hosted(host, html, page), by a join on tokens."""
+
+def _page_marks(hosted: DataFrame, marks: DataFrame) -> DataFrame:
+    """(page, marks): the marks of the tokens of each distinct page of hosted(host, html, page), by a join on tokens."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(h, p, t) for h, body, p in zip(batch["host"], batch["html"], batch["page"], strict=True) for t, _, _ in page_tokens(body or "")]
+            rows = [(h, p, t) for h, body, p in zip(batch["host"], batch["html"], batch["page"], strict=True) for t, *_ in page_tokens(body or "")]
             yield pd.DataFrame(rows, columns=["host", "page", "token"])
 
-    own = hosted.mapInPandas(tokens, "host string, page binary, token long").join(template, ["host", "token"])
-    return own.groupBy("page").agg(F.collect_set("token").alias("template"))
+    own = mapped(hosted, tokens, "host string, page binary, token long").distinct().join(marks, ["host", "token"])
+    return own.groupBy("page").agg(F.collect_list(F.struct("token", "cls", "weight")).alias("marks"))
+
+
+def _known(rows) -> tuple[dict, dict]:
+    """(template, weights) of rows of token, class and weight, either of which may be null."""
+    template, weights = {}, {}
+    for token, cls, weight in rows:
+        if cls is not None and cls == cls:
+            template[token] = cls
+        if weight is not None and weight == weight:
+            weights[token] = weight
+    return template, weights
 
 
 def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html", share: float = SHARE, min_pages: int = MIN_PAGES, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -280,31 +363,40 @@ def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html", shar
 
     Nulls: a null html is an empty page with empty text; pages without a host form one host.
     Repeated pages count each by itself; a host with few pages has no template, and its pages
-    are read by elements alone. Very long pages are read whole. An empty table gives an empty
-    result. Input columns named like an output column give way to it.
+    are read by elements alone. Very long pages are read whole. Of equally large places the first
+    in the page is taken. An empty table gives an empty result. Input columns named like an
+    output column give way to it.
     """
+    spark = pages.sparkSession
     hosted = pack(pages, url_host(F.col(quoted(url))).alias("host"), F.col(quoted(html)).alias("html"))
-    template = written(host_templates(hosted.select("host", "html", F.monotonically_increasing_id().alias("pid")), share, min_pages, min_tokens), "templates")
-
-    if template.count() <= BROADCAST_TOKENS:
-        rows = template.toPandas()
-        held = hosted.sparkSession.sparkContext.broadcast({h: t.to_numpy() for h, t in rows.groupby("host")["token"]})
+    seen = written(host_tokens(hosted.select("host", "html", F.monotonically_increasing_id().alias("pid"))), "tokens")
+    sizes = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    none = F.lit(None)
+    template = host_templates(seen, sizes, share, min_pages, min_tokens).withColumn("weight", none.cast("double"))
+    weights = slot_weights(seen, sizes, min_pages).select("host", "token", none.cast("long").alias("cls"), "weight")
+    marks = template.unionByName(weights).groupBy("host", "token").agg(F.max("cls").alias("cls"), F.max("weight").alias("weight"))
+    marks = written(marks, "marks")
+
+    if marks.count() <= BROADCAST_TOKENS:
+        rows = defaultdict(list)
+        for r in marks.collect():  # BROADCAST_TOKENS at most
+            rows[r["host"]].append((r["token"], r["cls"], r["weight"]))
+        held = spark.sparkContext.broadcast(dict(rows))
         sets: dict = {}
 
-        @F.pandas_udf("string")
         def text_of(bodies: pd.Series, hosts: pd.Series) -> pd.Series:
             for h in set(hosts) - set(sets):
-                sets[h] = set(held.value[h].tolist()) if h in held.value else set()
-            return pd.Series(["\n".join(main_text(b or "", sets[h])) for b, h in zip(bodies, hosts, strict=True)])
+                sets[h] = _known(held.value.get(h, ()))
+            return pd.Series(["\n".join(main_text(b or "", *sets[h], min_tokens)) for b, h in zip(bodies, hosts, strict=True)], dtype=object)
 
         joined, of = hosted, "host"
     else:
 
-        @F.pandas_udf("string")
-        def text_of(bodies: pd.Series, templates: pd.Series) -> pd.Series:
-            return pd.Series(["\n".join(main_text(b or "", set(t) if t is not None else set())) for b, t in zip(bodies, templates, strict=True)])
+        def text_of(bodies: pd.Series, known: pd.Series) -> pd.Series:
+            rows = [[(x["token"], x["cls"], x["weight"]) for x in m] if m is not None else [] for m in known]
+            return pd.Series(["\n".join(main_text(b or "", *_known(m), min_tokens)) for b, m in zip(bodies, rows, strict=True)], dtype=object)
 
         hosted = hosted.withColumn("page", F.unhex(F.sha2(F.concat_ws("\n", "host", "html"), 256)))
-        joined, of = hosted.join(_page_templates(hosted.select("host", "html", "page"), template), "page", "left"), "template"
-    out = joined.withColumn("text", text_of("html", of)).withColumn("n_chars", F.char_length("text").cast("long"))
+        joined, of = hosted.join(_page_marks(hosted.select("host", "html", "page"), marks), "page", "left"), "marks"
+    out = joined.withColumn("text", column_of(spark, text_of, "string")("html", of)).withColumn("n_chars", F.char_length("text").cast("long"))
     return unpack(out, ["text", "n_chars"])

@@ -285,3 +285,65 @@ def test_a_hot_group_is_joined_without_all_its_pairs(spark, monkeypatch):
             if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     assert got == {i: find(i) for i in sets} and len(set(got.values())) > 1
+
+
+def read(*bodies, host="h.com"):
+    return [(i, f"http://{host}/{i}", b) for i, b in enumerate(bodies)]
+
+
+def texts_of(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+
+
+def test_nothing_of_an_article_goes_for_its_id_or_class(spark):
+    body = (
+        "<body><div class='site-nav'><p>menu</p></div><article><h2 id='search-methods'>Search {0}</h2><p id=related>Related {0}</p><p class='share-price'>Price {0}</p><table class=tags><tr><td>Cell {0}</table>"
+        "<section id='notice-period'><p>Term {0}</p></section><p>x <math><mi>y{0}</mi></math></p><p title=it's>Quote {0}</p><div class='comment-list'><p>me too {0}</p></div><div class=related><p>see {0}</p></div></article></body>"
+    )
+    got = texts_of(spark, read(*(body.format(i) for i in range(6))))
+    assert got == {i: f"Search {i}\nRelated {i}\nPrice {i}\nCell {i}\nTerm {i}\nx y{i}\nQuote {i}" for i in range(6)}
+
+
+def test_articles_of_one_place_are_all_kept(spark):
+    body = "<body><main><article><p>First part {0} is the longer one</p></article><article><p>Second {0}</p></article></main><aside><article><p>Teaser {0}</p></article></aside></body>"
+    assert texts_of(spark, read(*(body.format(i) for i in range(3)))) == {i: f"First part {i} is the longer one\nSecond {i}" for i in range(3)}
+
+
+def test_slots_decide_without_elements_or_names_that_tell(spark):
+    """Boxes named at random: what repeats is template, what varies most over the host is the text, also in a page where it is short."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(12):
+        story = " ".join(f"s{rng.integers(999)}" for _ in range(80 if i else 4))
+        rows.append(f"<body><div class=q1><p>Always here at the top</p><p>Call us now</p></div><div class=q2><p>{story}</p><p>End {i} of it</p></div><div class=q3><p>Printed on day {i} of the year at the press</p></div><div class=q4><p>All rights are ours</p></div></body>")
+    got = texts_of(spark, read(*rows))
+    for i, body in enumerate(rows):
+        assert got[i] == re.search("q2><p>(.*?)</p>", body)[1] + f"\nEnd {i} of it"
+
+
+def test_templates_are_the_classes_of_equal_vectors(spark):
+    """The template's tokens against a deduction from whole vectors, and lone texts that nesting leaves in the slots."""
+    rng = np.random.default_rng(2)
+    bodies = []
+    for i in range(30):
+        parts = ["<div class=a><p>Top line</p><p>Second line</p></div>"] * (1 + i % 2) + [f"<ul>{'<li>Item</li>' * int(rng.integers(1, 4))}</ul>"] + (["<div class=b><p>Only some pages</p></div>"] if i % 3 == 0 else []) + [f"<div class=c><p>Text {i}</p></div>"]
+        bodies.append("<body>" + "".join(parts) + "</body>")
+    pages = spark.createDataFrame([("h", b, i) for i, b in enumerate(bodies)], "host string, html string, pid long")
+    seen = html_text.host_tokens(pages)
+    got = {r["token"]: r["cls"] for r in html_text.host_templates(seen, pages.groupBy("host").agg(F.count(F.lit(1)).alias("of")), 0.3, 4, 2).collect()}
+    vectors, tags = defaultdict(lambda: [0] * 30), set()
+    for i, b in enumerate(bodies):
+        for token, n, tag, _, _ in html_text.page_tokens(b):
+            vectors[token][i] = n
+            tags |= {token} if tag else set()
+    classes = defaultdict(set)
+    for token, v in vectors.items():
+        classes[tuple(v)].add(token)
+    want = {t for v, ts in classes.items() if sum(x > 0 for x in v) >= 4 and len(ts) >= 2 and (sum(x > 0 for x in v) >= 9 or ts & tags) for t in ts}
+    assert set(got) == want and len({got[t] for t in want}) == len({tuple(vectors[t]) for t in want})
+    blocks = html_text.parse("<body><div class=a><p>Top line</p></div><div class=z><p>Alone</p></div></body>")[1]
+    top, alone = (html_text.token_hash(b.path, b.text) for b in blocks)
+    boxes = [html_text._OPENING[b.stack[-2][4]] for b in blocks]
+    assert html_text.template_texts(blocks, {top: 1, boxes[0]: 1, alone: 2}) == {top}
+    assert html_text.template_texts(blocks, {top: 1, boxes[0]: 1, alone: 2, boxes[1]: 2}) == {top, alone}
