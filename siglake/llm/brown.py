@@ -42,11 +42,13 @@ from siglake.llm.common import column_of, give_back, mapped, quoted, written
 #: Bytes of text of a block; the most bigrams and words that a task holds before it hands them on or folds them.
 BLOCK_BYTES, _HELD = 12 << 20, 400_000
 DISCOUNT, MIX = 0.5, 20.0
+#: Bigrams that the driver works on at once.
+_PART = 500_000
 
 
 def sizes_for(vocabulary: int) -> tuple[int, int]:
     """Frequent words that are clustered, and their classes: by the fourth root of the vocabulary, and by the square root of that."""
-    frequent = max(600, round(60 * vocabulary**0.25))
+    frequent = max(600, round(32 * vocabulary**0.25))
     return frequent, max(40, round(1.4 * frequent**0.5))
 
 
@@ -69,18 +71,23 @@ def exchange_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int, class
     """Class of each of `size` words so that sum n(a,b) log n(a,b) over class pairs, less that of either side, is a local maximum.
 
     Words start by rank, in turn; they are visited in order and moved to the best class, the
-    first of equals, until a sweep moves none. a, b, n: the bigrams that occur and their counts.
+    first of equals, until a sweep moves none. a, b, n: the bigrams that occur, in order of a, and
+    their counts; beside them, four bytes each are held.
     """
     classes = max(1, min(classes, size))
     of = np.arange(size) % classes
     if size == 0 or classes == 1:
         return of
-    total = lambda keys, rows: np.bincount(keys, weights=n, minlength=rows * classes).reshape(rows, classes)
-    right, left = total(a * classes + of[b], size), total(b * classes + of[a], size)  # word x class: what follows it, what it follows
-    pairs = total(of[a] * classes + of[b], classes)
-    own_counts = np.bincount(a[a == b], weights=n[a == b], minlength=size)
-    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    ends_a, ends_b = (np.searchsorted(x, np.arange(size + 1)) for x in (a[by_a], b[by_b]))
+    right, left, own_counts = np.zeros((size, classes)), np.zeros((size, classes)), np.zeros(size)  # word x class: what follows it, what it follows
+    for at in range(0, len(a), _PART):
+        x, y, times = a[at : at + _PART].astype(np.int64), b[at : at + _PART].astype(np.int64), n[at : at + _PART]
+        right += np.bincount(x * classes + of[y], weights=times, minlength=size * classes).reshape(size, classes)
+        left += np.bincount(y * classes + of[x], weights=times, minlength=size * classes).reshape(size, classes)
+        own_counts += np.bincount(x[x == y], weights=times[x == y], minlength=size)
+    pairs = np.eye(classes)[of].T @ right
+    by_b = np.argsort(b, kind="stable").astype(np.int32)
+    ends_a = np.searchsorted(a, np.arange(size + 1))
+    ends_b = np.concatenate([[0], np.cumsum(np.bincount(b, minlength=size))])
     h = lambda x: x * np.log(np.maximum(x, 1e-300))
     d = np.arange(classes)
     for _ in range(sweeps):
@@ -105,8 +112,7 @@ def exchange_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int, class
             if new != old:
                 moved = True
                 of[w] = new
-                for table, order, ends, other in ((right, by_b, ends_b, a), (left, by_a, ends_a, b)):
-                    at = order[ends[w] : ends[w + 1]]
+                for table, at, other in ((right, by_b[ends_b[w] : ends_b[w + 1]], a), (left, slice(ends_a[w], ends_a[w + 1]), b)):
                     table[other[at], old] -= n[at]
                     table[other[at], new] += n[at]
         if not moved:
@@ -155,7 +161,7 @@ def _fold(keys: list, times: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bigrams(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, next word, count) of the bigrams of frequent words over all training documents."""
+    """(word, next word, count) of the bigrams of frequent words over all training documents, in order."""
     ids, n = {w: i for i, w in enumerate(words)}, len(words)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,9 +177,9 @@ def _bigrams(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
         at, sums = _fold(keys, times)
         yield pd.DataFrame({"pair": at, "n": sums})
 
-    sums = mapped(docs, counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # frequent words squared at most
-    pair = sums["pair"].to_numpy(dtype=np.int64)
-    return pair // max(n, 1), pair % max(n, 1), sums["n"].to_numpy(dtype=float)
+    sums = mapped(docs, counted, "pair long, n long").groupBy("pair").agg(F.sum("n").cast("double").alias("n")).orderBy("pair")
+    got = sums.select(F.floor(F.col("pair") / max(n, 1)).cast("int").alias("a"), (F.col("pair") % max(n, 1)).cast("int").alias("b"), "n").toArrow()  # frequent words squared at most, 16 bytes each
+    return tuple(got.column(c).to_numpy() for c in ("a", "b", "n"))
 
 
 def learn_classes(train: DataFrame, frequent: int | None = None, classes: int | None = None, groups: int | None = None, counts: DataFrame | None = None) -> Classes:
@@ -186,7 +192,11 @@ def learn_classes(train: DataFrame, frequent: int | None = None, classes: int |
     a, b, n = _bigrams(train, words)
     of = exchange_pairs(a, b, n, len(words), classes)
     fine = int(of.max()) + 1 if len(of) else 0
-    between = np.bincount(of[a] * fine + of[b], weights=n, minlength=fine * fine).reshape(fine, fine) if fine else np.zeros((0, 0))
+    between = np.zeros((fine, fine))
+    for at in range(0, len(a), _PART):
+        x, y = of[a[at : at + _PART]], of[b[at : at + _PART]]
+        between += np.bincount(x * fine + y, weights=n[at : at + _PART], minlength=fine * fine).reshape(fine, fine)
+    give_back()
     coarse = exchange(between, groups) if groups and groups < fine else np.arange(fine)
     k = int(coarse.max()) + 1 if len(coarse) else 1
     fold = np.eye(k)[coarse] if fine else np.zeros((0, k))
