@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siglake import oracles
 from siglake.functions import complex_tf, filters, graph_nets
 from siglake.operators import bits, graphs, images, signals, vectors, volumes
 from siglake.plans import report
@@ -39,6 +40,13 @@ _PRELUDE = {
 }
 
 
+def with_casts(columns: str, sql: str, needs: str) -> str:
+    """SQL with the tables it needs before it and the casts of its columns around it."""
+    parts = [_PRELUDE[n] for n in needs.split()]
+    kinds = {"l": "{}::bigint as {}", "d": "round(({})::double, 6) + 0.0 as {}", "s": "{} as {}"}
+    return "with " + ", ".join([*parts, f"q as ({sql})"]) + " select " + ", ".join(kinds[k].format(c, c) for c, k in (x.split(":") for x in columns.split())) + " from q"
+
+
 def query(columns: str, sql: str | None = None, needs: str = ""):
     spec = [c.split(":") for c in columns.split()]
 
@@ -49,10 +57,9 @@ def query(columns: str, sql: str | None = None, needs: str = ""):
             return df.select(*[kinds[k](c).alias(c) for c, k in spec])
 
         QUERIES[f.__name__] = run
-        if sql:
-            parts = [_PRELUDE[n] for n in needs.split()]
-            kinds = {"l": "{}::bigint as {}", "d": "round(({})::double, 6) + 0.0 as {}", "s": "{} as {}"}
-            ORACLES[f.__name__] = "with " + ", ".join([*parts, f"q as ({sql})"]) + " select " + ", ".join(kinds[k].format(c, c) for c, k in spec) + " from q"
+        text, tables_ = (sql, needs) if sql else oracles.TEXTS.get(f.__name__, ("", ""))
+        if text:
+            ORACLES[f.__name__] = with_casts(columns, text, tables_)
         return f
 
     return wrap
@@ -287,7 +294,7 @@ def kalman_filter(spark, d):
 ORACLES["kalman_filter"] = ORACLES["kalman_filter"].replace("v as x, 1 - 0.01", "v::double as x, (1 - 0.01").replace("(1 + 0.00001 + 0.01) as g, (1 + 0.00001) * (0.01 / (1 + 0.00001 + 0.01)) as p", "(1 + 0.00001 + 0.01))::double as g, ((1 + 0.00001)::double * (0.01::double / (1 + 0.00001 + 0.01)::double)) as p").replace("0.0, (r.p", "0.0::double, (r.p")
 
 
-@query(SIG)
+@query(SIG, oracles.biquad(*([float(x) for x in side] for side in filters.biquad("lowpass", 0.1, 1.0))), "emb")
 def biquad_lowpass(spark, d):
     return tables.to_samples(vectors.iir(tables.embedding_signals(spark, d), *filters.biquad("lowpass", 0.1, 1.0)))
 
