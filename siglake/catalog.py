@@ -36,7 +36,7 @@ _PRELUDE = {
     "lap": """deg as (select nodes.i, coalesce(d, 0) as d from nodes left join (select i, sum(w) as d from edges group by 1) x on x.i = nodes.i),
       lap as (select i, i as j, case when d > 0 then 1.0 else 0.0 end as w from deg union all
         select e.i, e.j, -e.w / sqrt(greatest(p.d, 1e-12) * greatest(q.d, 1e-12)) from edges e join deg p on p.i = e.i join deg q on q.i = e.j)""",
-    "bitrows": "bitrows as (select doc_id as id, k as i, get_bit(encode(substr(text, 1, 24))::bit, k::int)::bigint as b from (select doc_id, text, unnest(range(8 * octet_length(encode(substr(text, 1, 24))))) as k from documents where text <> ''))",
+    "bitrows": "bitrows as (select doc_id as id, encode(text)::bit::varchar as s from documents where text <> '')",
 }
 
 
@@ -333,22 +333,25 @@ def _document_bytes(spark, d):
     return tables.table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
 
 
-_BIT_RUNS = "turns as (select *, sum(t) over (partition by id order by i rows unbounded preceding) as run from (select *, case when lag(b) over (partition by id order by i) <> b then 1 else 0 end as t from bitrows)), runs as (select id, run, min(b) as bit, count(*) as length, sum(b) as ones from turns group by 1, 2)"
+_BIT_RUNS = "runs as (select id, generate_subscripts(r, 1) - 1 as run, unnest(r) as bits from (select id, regexp_extract_all(s, '0+|1+') as r from bitrows))"
 
 
-@query("id:l n:l entropy:d transitions:l density:d balance:d average_run:d longest_run:l", f"with {_BIT_RUNS}, s as (select id, sum(length) as n, sum(ones) / sum(length)::double as p, count(*) as k, avg(length) as average_run, max(length) as longest_run from runs group by 1) select id, n, case when p in (0, 1) then 0 else -p * log2(p) - (1 - p) * log2(1 - p) end as entropy, k - 1 as transitions, (k - 1) / n::double as density, abs(2 * p - 1) as balance, average_run, longest_run from s", "bitrows")
+@query("id:l n:l entropy:d transitions:l density:d balance:d average_run:d longest_run:l", f"with {_BIT_RUNS}, s as (select id, sum(length(bits)) as n, sum(case when bits[1] = '1' then length(bits) else 0 end) / sum(length(bits))::double as p, count(*) as k, avg(length(bits)) as average_run, max(length(bits)) as longest_run from runs group by 1) select id, n, case when p in (0, 1) then 0 else -p * log2(p) - (1 - p) * log2(1 - p) end as entropy, k - 1 as transitions, (k - 1) / n::double as density, abs(2 * p - 1) as balance, average_run, longest_run from s", "bitrows")
 def bit_signature(spark, d):
-    return bits.bit_signature(bits.bits_of(_document_bytes(spark, d)))
+    return bits.bit_signature(_document_bytes(spark, d))
 
 
-@query("id:l run:l bit:l length:l", f"with {_BIT_RUNS} select * from runs", "bitrows")
+@query("id:l run:l bit:l length:l", f"with {_BIT_RUNS} select id, run, bits[1]::int as bit, length(bits) as length from runs", "bitrows")
 def bit_run_lengths(spark, d):
-    return bits.run_lengths(bits.bits_of(_document_bytes(spark, d)))
+    return bits.run_lengths(_document_bytes(spark, d))
 
 
-@query("id:l period:l score:d rank:l", "select x.id, p as period, avg((x.b = y.b)::int) as score, row_number() over (partition by x.id order by avg((x.b = y.b)::int) desc, p) as rank from bitrows x, range(1, 64) t(p), bitrows y where y.id = x.id and y.i = x.i - p group by 1, 2 qualify rank <= 5", "bitrows")
+_AGREE = "select id, p as period, 1 - bit_count(xor(left(s, (length(s) - p)::int)::bit, substr(s, (p + 1)::int)::bit)) / (length(s) - p)::double as score from (select id, left(s, 10000) as s from bitrows), range(1, 64) t(p) where length(s) > p"
+
+
+@query("id:l period:l score:d rank:l", f"select *, row_number() over (partition by id order by round(score, 12) desc, period) as rank from ({_AGREE}) qualify rank <= 5", "bitrows")
 def bit_periods(spark, d):
-    return bits.periods(bits.bits_of(_document_bytes(spark, d), 1250))  # the scan reads 10,000 bits, as the original's does
+    return bits.periods(_document_bytes(spark, d))  # the scan reads 10,000 bits, as the original's does
 
 
 @query("id:l size:l md5:s sha1:s sha256:s", "select doc_id as id, octet_length(encode(text)) as size, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256 from documents where text is not null")
