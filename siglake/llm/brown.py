@@ -37,10 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siglake.llm.common import column_of, give_back, mapped, quoted, written
+from siglake.llm.common import column_of, give_back, mapped, quoted, release, written
 
 #: Bytes of text of a block; the most bigrams and words that a task holds before it hands them on or folds them.
-BLOCK_BYTES, _HELD = 12 << 20, 400_000
+BLOCK_BYTES, _HELD = 8 << 20, 250_000
 DISCOUNT, MIX = 0.5, 20.0
 #: Bigrams that the driver works on at once.
 _PART = 500_000
@@ -204,15 +204,17 @@ def learn_classes(train: DataFrame, frequent: int | None = None, classes: int |
     return Classes(words, np.array(times), of, coarse, np.log(near / near.sum(1, keepdims=True)))
 
 
-BLOCKS = "block long, doc_id long, held_out boolean, seq binary, h long, n long, local int, near binary"
+#: A word's place is its block, then its number there in so many bits; a block is a task (20 bits) and a count.
+_LOCAL = 29
+BLOCKS = "place long, doc_id long, held_out boolean, seq binary, h long, near binary"
 
 
 def _blocks(rows: DataFrame, model: Classes, block_bytes: int) -> DataFrame:
     """Of each block, its documents (seq, the word numbers) and its words that aren't frequent.
 
-    A word has its hash h, its number in the block (local), its count in the block's training
-    documents and the groups of its neighbours there, as longs (count << 16 | group). Numbers
-    below the count of frequent words are theirs.
+    A word has its place, its hash h and, in near as longs, its count in the block's training
+    documents and the groups of its neighbours there (count << 16 | group). Numbers below the
+    count of frequent words are theirs.
     """
     k, least = model.groups, len(model.ids)
     held = rows.sparkSession.sparkContext.broadcast(model)
@@ -232,18 +234,20 @@ def _blocks(rows: DataFrame, model: Classes, block_bytes: int) -> DataFrame:
             keys.append(more)
             times.append(of)
         key, total = _fold(keys, times)
-        packed = (total << 16 | key % k).astype("<i8").tobytes()
-        ends = np.searchsorted(key, np.arange(n - least + 1) * k).tolist()
-        near = [packed[8 * x : 8 * y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-        return pd.DataFrame({"block": block, "doc_id": pd.array([None] * len(names), dtype="Int64"), "held_out": None, "seq": None, "h": np.array(names, dtype=np.int64), "n": count, "local": np.arange(len(names), dtype=np.int32), "near": near})
+        ends = np.searchsorted(key, np.arange(n - least + 1) * k)
+        packed = np.insert(total << 16 | key % k, ends[:-1], count).astype("<i8").tobytes()
+        ends = (8 * (ends + np.arange(len(ends)))).tolist()
+        near = [packed[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        place = (block << _LOCAL) + np.arange(len(names))
+        return pd.DataFrame({"place": place, "doc_id": pd.array([None] * len(names), dtype="Int64"), "held_out": None, "seq": None, "h": np.array(names, dtype=np.int64), "near": near})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, ids, parts, docs, size = TaskContext.get().partitionId() << 32, dict(held.value.ids), [], [], 0
+        block, ids, parts, docs, size = TaskContext.get().partitionId() << 14, dict(held.value.ids), [], [], 0
 
         def done() -> Iterator[pd.DataFrame]:
             none = pd.array([None] * len(docs), dtype="Int64")
             seqs = [x.astype("<i4").tobytes() for _, _, x in docs]
-            yield pd.DataFrame({"block": block, "doc_id": pd.array([i for i, _, _ in docs], dtype="Int64"), "held_out": [o for _, o, _ in docs], "seq": seqs, "h": none, "n": none, "local": none, "near": None})
+            yield pd.DataFrame({"place": block << _LOCAL, "doc_id": pd.array([i for i, _, _ in docs], dtype="Int64"), "held_out": [o for _, o, _ in docs], "seq": seqs, "h": none, "near": None})
             yield words_of(block, ids, parts)
 
         for b in batches:
@@ -263,7 +267,7 @@ def _blocks(rows: DataFrame, model: Classes, block_bytes: int) -> DataFrame:
 
 
 def _placed_words(found: DataFrame, model: Classes) -> DataFrame:
-    """(block, local, h, n, of, first): words of blocks with their counts over all blocks and the groups that all their neighbours favour."""
+    """(place, is): words of blocks with their counts over all blocks, the groups that all their neighbours favour, and whether it is the word's first row: count << 20 | group << 1 | first."""
     k, follow = model.groups, model.follow
 
     def decided(rows: pd.DataFrame) -> pd.DataFrame:
@@ -271,10 +275,12 @@ def _placed_words(found: DataFrame, model: Classes) -> DataFrame:
         first = np.concatenate([[True], h[1:] != h[:-1]])
         word = np.cumsum(first) - 1
         packed = np.frombuffer(b"".join(rows["near"]), dtype="<i8")
-        at = np.repeat(word, rows["near"].str.len().to_numpy(dtype=np.int64) // 8) * k + (packed & 0xFFFF)
-        near = np.bincount(at, weights=packed >> 16, minlength=(word[-1] + 1) * k).reshape(-1, k)
-        n = np.add.reduceat(rows["n"].to_numpy(dtype=np.int64), np.flatnonzero(first))
-        return pd.DataFrame({"block": rows["block"], "local": rows["local"], "h": h, "n": n[word], "of": (near @ follow).argmax(1)[word], "first": first})
+        width = rows["near"].str.len().to_numpy(dtype=np.int64) // 8
+        starts = np.cumsum(width) - width
+        n = np.add.reduceat(packed[starts], np.flatnonzero(first))
+        packed = np.delete(packed, starts)
+        near = np.bincount(np.repeat(word, width - 1) * k + (packed & 0xFFFF), weights=packed >> 16, minlength=(word[-1] + 1) * k).reshape(-1, k)
+        return pd.DataFrame({"place": rows["place"], "is": n[word] << 20 | (near @ follow).argmax(1)[word] << 1 | first})
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -288,20 +294,20 @@ def _placed_words(found: DataFrame, model: Classes) -> DataFrame:
         if rest is not None and len(rest):
             yield decided(rest)
 
-    rows = found.select("block", "local", "h", "n", "near").repartition("h").sortWithinPartitions("h", "block")
-    return mapped(rows, placed, "block long, local int, h long, n long, of int, first boolean")
+    rows = found.select("place", "h", "near").repartition("h").sortWithinPartitions("h", "place")
+    return mapped(rows, placed, "place long, is long")
 
 
 def _block_sums(model: Classes):
     """For cogrouped documents and words of a block: each document's sums, and what the block's words add to the vocabulary."""
 
     def summed(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        at = words["local"].to_numpy(dtype=np.int64)
+        at, known = words["place"].to_numpy(dtype=np.int64) & ((1 << _LOCAL) - 1), words["is"].to_numpy(dtype=np.int64)
         n, of = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-        n[at], of[at] = words["n"].to_numpy(dtype=np.int64), words["of"].to_numpy(dtype=np.int64)
+        n[at], of[at] = known >> 20, known >> 1 & 0x7FFFF
         count = np.concatenate([model.counts, n]).astype(np.float64)
         kind = np.concatenate([model.of, np.where(n > 0, model.fine + of, model.unknown)])
-        first = words["first"].to_numpy(dtype=bool) & (words["n"].to_numpy(dtype=np.int64) > 0)
+        first = (known & 1 == 1) & (known >> 20 > 0)
         types = np.bincount(kind[len(model.of) + at[first]], minlength=model.width)
         base, emit = np.log10(count + 0.1), np.where(count > 0, np.log10(np.maximum(count, 1) - DISCOUNT), 0.0)
         rows = []
@@ -329,11 +335,14 @@ def score_texts(docs: DataFrame, out_of_training: Column, *, key: str = "doc_id"
     """
     rows = docs.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"), out_of_training.alias("held_out"))
     train = rows.where(~F.col("held_out")).select("text")
-    model = learn_classes(train, frequent, classes, groups, written(word_counts(train), "words"))
+    counts = written(word_counts(train), "words")
+    model = learn_classes(train, frequent, classes, groups, counts)
+    release(counts)
     blocks = written(_blocks(rows, model, block_bytes), "blocks")
     placed = _placed_words(blocks.where("seq is null"), model)
-    texts = blocks.where("seq is not null").select("block", "doc_id", "held_out", "seq")
-    sums = texts.groupBy("block").cogroup(placed.select("block", "local", "n", "of", "first").groupBy("block")).applyInPandas(_block_sums(model), SUMS)
+    texts = blocks.where("seq is not null").select("place", "doc_id", "held_out", "seq")
+    block = F.shiftright("place", _LOCAL)
+    sums = texts.groupBy(block).cogroup(placed.groupBy(block)).applyInPandas(_block_sums(model), SUMS)
     sums = written(sums, "sums")
 
     def transitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -55,14 +55,16 @@ def test_words_outside_the_frequent_ones_reach_a_group_for_every_class(spark):
     assert model.groups == model.fine == 12
     rows = train.coalesce(1).selectExpr("cast(null as long) doc_id", "false held_out", "text")
     blocks = brown._blocks(rows, model, 2_000)
+    blocks = blocks.withColumn("block", F.shiftright("place", brown._LOCAL))
     assert blocks.where("seq is not null").count() == 60 and blocks.select("block").distinct().count() > 3
-    placed = brown._placed_words(blocks.where("seq is null"), model).collect()
-    got = {(r["block"], r["h"]): r for r in placed}
-    of = {(i, r["of"]) for i in range(12) for j in range(5) for (_, h), r in got.items() if h == brown.word_hash(f"rare{i}x{j}".encode())}
+    words = blocks.where("seq is null")
+    at = {r["place"]: r["h"] for r in words.collect()}
+    placed = [(at[r["place"]], r["is"]) for r in brown._placed_words(words, model).collect()]
+    of = {(i, known >> 1 & 0x7FFFF) for i in range(12) for j in range(5) for h, known in placed if h == brown.word_hash(f"rare{i}x{j}".encode())}
     groups = {i: {g for k, g in of if k == i} for i in range(12)}
     near = {i: {int(model.follow[[model.group_of_word[model.ids[w]] for w in (f"a{i}".encode(), f"b{i}".encode())]].sum(0).argmax())} for i in range(12)}
     assert groups == near and len(set().union(*groups.values())) > 6
-    assert model.counts.tolist() == [105] * 24 and sum(r["first"] for r in got.values()) == len({h for _, h in got}) == 60
+    assert model.counts.tolist() == [105] * 24 and sum(known & 1 for _, known in placed) == len({h for h, _ in placed}) == 60
 
 
 def test_frequent_words_are_counted_whole(spark):
