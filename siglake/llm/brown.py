@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from siglake.llm.common import column_of, give_back, mapped, quoted, release, written
 
 #: Bytes of text of a block; the most bigrams and words that a task holds before it hands them on or folds them.
-BLOCK_BYTES, _HELD = 8 << 20, 250_000
+BLOCK_BYTES, _HELD = 12 << 20, 250_000
 DISCOUNT, MIX = 0.5, 20.0
 #: Bigrams that the driver works on at once.
 _PART = 500_000
@@ -209,12 +209,30 @@ _LOCAL = 29
 BLOCKS = "place long, doc_id long, held_out boolean, seq binary, h long, near binary"
 
 
+def _packed(seq: np.ndarray) -> bytes:
+    """Word numbers below 2^30 in 15 bits, or twice 15 with a sign on the first."""
+    large = seq >> 15 > 0
+    at = np.cumsum(1 + large) - 1 - large
+    out = np.zeros(len(seq) + int(large.sum()), dtype="<u2")
+    out[at] = np.where(large, seq >> 15 | 0x8000, seq)
+    out[at[large] + 1] = seq[large] & 0x7FFF
+    return out.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    part = np.frombuffer(raw, dtype="<u2").astype(np.int64)
+    large = part >> 15 > 0
+    first = np.concatenate([[True], ~large[:-1]])[: len(part)]
+    after = np.append(part[1:], 0)
+    return np.where(large, (part & 0x7FFF) << 15 | after, part)[first]
+
+
 def _blocks(rows: DataFrame, model: Classes, block_bytes: int) -> DataFrame:
     """Of each block, its documents (seq, the word numbers) and its words that aren't frequent.
 
-    A word has its place, its hash h and, in near as longs, its count in the block's training
-    documents and the groups of its neighbours there (count << 16 | group). Numbers below the
-    count of frequent words are theirs.
+    A word has its place, its hash h and, in near as 32 bits each, its count in the block's training
+    documents and the groups of its neighbours there (count << 16 | group, counts over 16 bits in
+    parts). Numbers below the count of frequent words are theirs.
     """
     k, least = model.groups, len(model.ids)
     held = rows.sparkSession.sparkContext.broadcast(model)
@@ -234,9 +252,12 @@ def _blocks(rows: DataFrame, model: Classes, block_bytes: int) -> DataFrame:
             keys.append(more)
             times.append(of)
         key, total = _fold(keys, times)
+        times = -(-total // 0xFFFF)
+        key, part = np.repeat(key, times), np.full(int(times.sum()), 0xFFFF)
+        part[np.cumsum(times) - 1] = total - (times - 1) * 0xFFFF
         ends = np.searchsorted(key, np.arange(n - least + 1) * k)
-        packed = np.insert(total << 16 | key % k, ends[:-1], count).astype("<i8").tobytes()
-        ends = (8 * (ends + np.arange(len(ends)))).tolist()
+        packed = np.insert(part << 16 | key % k, ends[:-1], count).astype("<u4").tobytes()
+        ends = (4 * (ends + np.arange(len(ends)))).tolist()
         near = [packed[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
         place = (block << _LOCAL) + np.arange(len(names))
         return pd.DataFrame({"place": place, "doc_id": pd.array([None] * len(names), dtype="Int64"), "held_out": None, "seq": None, "h": np.array(names, dtype=np.int64), "near": near})
@@ -246,7 +267,7 @@ def _blocks(rows: DataFrame, model: Classes, block_bytes: int) -> DataFrame:
 
         def done() -> Iterator[pd.DataFrame]:
             none = pd.array([None] * len(docs), dtype="Int64")
-            seqs = [x.astype("<i4").tobytes() for _, _, x in docs]
+            seqs = [_packed(x) for _, _, x in docs]
             yield pd.DataFrame({"place": block << _LOCAL, "doc_id": pd.array([i for i, _, _ in docs], dtype="Int64"), "held_out": [o for _, o, _ in docs], "seq": seqs, "h": none, "near": None})
             yield words_of(block, ids, parts)
 
@@ -274,8 +295,8 @@ def _placed_words(found: DataFrame, model: Classes) -> DataFrame:
         h = rows["h"].to_numpy()
         first = np.concatenate([[True], h[1:] != h[:-1]])
         word = np.cumsum(first) - 1
-        packed = np.frombuffer(b"".join(rows["near"]), dtype="<i8")
-        width = rows["near"].str.len().to_numpy(dtype=np.int64) // 8
+        packed = np.frombuffer(b"".join(rows["near"]), dtype="<u4").astype(np.int64)
+        width = rows["near"].str.len().to_numpy(dtype=np.int64) // 4
         starts = np.cumsum(width) - width
         n = np.add.reduceat(packed[starts], np.flatnonzero(first))
         packed = np.delete(packed, starts)
@@ -312,7 +333,7 @@ def _block_sums(model: Classes):
         base, emit = np.log10(count + 0.1), np.where(count > 0, np.log10(np.maximum(count, 1) - DISCOUNT), 0.0)
         rows = []
         for i, (doc_id, out, raw) in enumerate(zip(docs["doc_id"].astype("Int64"), docs["held_out"], docs["seq"], strict=True)):
-            seq = np.frombuffer(raw, dtype="<i4")
+            seq = _unpacked(raw)
             classes = np.concatenate([[model.start], kind[seq], [model.end]])
             pairs, times = np.unique(classes[:-1] * model.width + classes[1:], return_counts=True)
             rows.append((None if doc_id is pd.NA else doc_id, bool(out), len(seq) + 1, int((count[seq] > 0).sum()), float(base[seq].sum()), float(emit[seq].sum()), pairs.astype(np.int32), times.astype(np.int32), types.tolist() if i == 0 else None))

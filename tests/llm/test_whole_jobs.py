@@ -349,3 +349,19 @@ def test_templates_are_the_classes_of_equal_vectors(spark):
     boxes = [html_text._OPENING[b.stack[-2][4]] for b in blocks]
     assert html_text.template_texts(blocks, {top: 1, boxes[0]: 1, alone: 2}) == {top}
     assert html_text.template_texts(blocks, {top: 1, boxes[0]: 1, alone: 2, boxes[1]: 2}) == {top, alone}
+
+
+def test_word_numbers_survive_packing():
+    rng = np.random.default_rng(3)
+    for seq in ([], [0], [32767, 32768, 0, 65535, 65536, 98304, (1 << 29) + 7, 5], [32768] * 3, rng.integers(0, 1 << 30, 5_000), rng.integers(0, 60_000, 5_000)):
+        seq = np.array(seq, dtype=np.int64)
+        assert brown._unpacked(brown._packed(seq)).tolist() == seq.tolist()
+
+
+def test_neighbours_of_a_word_beyond_sixteen_bits_count_whole(spark):
+    rows = spark.createDataFrame([(None, False, "a mid b " * 70_000)], "doc_id long, held_out boolean, text string")
+    model = brown.learn_classes(rows.select("text"), 2, 2)
+    assert sorted(model.ids) == [b"a", b"b"]
+    near = [r["near"] for r in brown._blocks(rows, model, 1 << 30).where("seq is null").collect()]
+    counts = np.frombuffer(near[0], dtype="<u4").astype(np.int64)
+    assert len(near) == 1 and counts[0] == 70_000 and (counts[1:] >> 16).sum() == 140_000 and len(counts) == 5
