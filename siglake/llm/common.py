@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import math
 import tempfile
 import uuid
@@ -93,12 +94,16 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def give_back() -> None:
     """Freed memory of a Python worker goes back to the machine: workers are reused, and else keep the most they ever held."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    if _trim():
+        _trim()(0)
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:

@@ -350,7 +350,8 @@ def _joined_groups(dealt: DataFrame, texts: DataFrame, n: int, num: int, den: in
         shingle = Shingler(n)
         sets = [shingle(t) for t in rows["text"]]
         links = matrix_links(rows["h"].to_numpy(), sets, rows["own"].to_numpy(), num, den, rows["root"].to_numpy())
-        give_back()
+        if sum(map(len, sets)) > SPLIT_TOKENS // 4:  # most groups are small, and a call takes time
+            give_back()
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     rows = dealt.select("center", "h", "root", "own", "m.i", "m.j").join(texts, "h")
