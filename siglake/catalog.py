@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siglake import oracles
-from siglake.functions import complex_tf, filters, graph_nets
+from siglake.functions import complex_tf, filters, graph_nets, states
 from siglake.operators import bits, graphs, images, signals, vectors, volumes
 from siglake.plans import report
 from siglake.sources import tables
@@ -182,6 +182,21 @@ def _near(f: str, of: str) -> str:
     return f"select sid, idx, {f}(v) over (partition by sid order by idx rows between 1 preceding and 1 following) as v from {of}"
 
 
+@query(SIG, "select s.sid, s.idx, list_sort(list(t.v))[2] as v from (select *, count(*) over (partition by sid) as n from samples) s, range(-2, 3) o(k), samples t where t.sid = s.sid and t.idx = least(greatest(s.idx + k, 0), n - 1) group by 1, 2", "samples")
+def rank_filter(spark, d):
+    return signals.rank_filter(S(spark, d), 5, 1)
+
+
+@query(SIG, _near("max", "samples"), "samples")
+def dilation(spark, d):
+    return signals.dilate(S(spark, d))
+
+
+@query(SIG, _near("min", "samples"), "samples")
+def erosion(spark, d):
+    return signals.erode(S(spark, d))
+
+
 @query(SIG, _near("max", f"({_near('min', 'samples')})"), "samples")
 def opening(spark, d):
     return signals.opening(S(spark, d))
@@ -294,9 +309,77 @@ def kalman_filter(spark, d):
 ORACLES["kalman_filter"] = ORACLES["kalman_filter"].replace("v as x, 1 - 0.01", "v::double as x, (1 - 0.01").replace("(1 + 0.00001 + 0.01) as g, (1 + 0.00001) * (0.01 / (1 + 0.00001 + 0.01)) as p", "(1 + 0.00001 + 0.01))::double as g, ((1 + 0.00001)::double * (0.01::double / (1 + 0.00001 + 0.01)::double)) as p").replace("0.0, (r.p", "0.0::double, (r.p")
 
 
-@query(SIG, oracles.biquad(*([float(x) for x in side] for side in filters.biquad("lowpass", 0.1, 1.0))), "emb")
-def biquad_lowpass(spark, d):
-    return tables.to_samples(vectors.iir(tables.embedding_signals(spark, d), *filters.biquad("lowpass", 0.1, 1.0)))
+def _fir(name: str, taps) -> None:
+    def run(spark, d):
+        return signals.apply_fir(S(spark, d), [float(t) for t in taps])
+
+    run.__name__ = name
+    query(SIG)(run)
+
+
+_fir("fir_highpass", filters.highpass(10, 0.2, 1.0))
+_fir("fir_bandpass", filters.bandpass(9, 0.1, 0.3, 1.0))
+_fir("fir_bandstop", filters.bandstop(9, 0.1, 0.3, 1.0))
+_fir("fractional_delay", filters.fractional_delay(9, 0.3))
+_fir("differentiator", filters.DIFFERENTIATOR)
+_fir("savitzky_golay", filters.savitzky_golay(5, 2))
+_fir("savitzky_golay_slope", filters.savitzky_golay(5, 2, 1))
+
+
+def _iir(name: str, b, a) -> None:
+    def run(spark, d):
+        return tables.to_samples(vectors.iir(tables.embedding_signals(spark, d), b, a))
+
+    run.__name__ = name
+    query(SIG)(run)
+
+
+for _kind in ("lowpass", "highpass", "bandpass", "notch", "allpass"):
+    _iir(f"biquad_{_kind}", *filters.biquad(_kind, 0.1, 1.0))
+_iir("single_pole_highpass", *filters.single_pole(10.0, 100.0, "highpass"))
+_iir("leaky_integrator", *filters.leaky_integrator(0.9))
+_iir("comb_feedforward", *filters.comb(3, 0.5))
+_iir("comb_feedback", *filters.comb(3, 0.5, True))
+
+
+@query("sid:l idx:l output:d error:d")
+def adaptive_lms(spark, d):
+    e = tables.embedding_signals(spark, d)
+    pairs = e.withColumnRenamed("samples", "desired").join(e.select((F.col("sid") - 1).alias("sid"), F.col("samples").alias("reference")), "sid")
+    both = vectors.lms(pairs, 3, 0.05).select("sid", F.posexplode(F.arrays_zip("output", "error")).alias("idx", "x"))
+    return both.select("sid", "idx", "x.output", "x.error")
+
+
+@query(SIG)
+def backward_smoother(spark, d):
+    return tables.to_samples(vectors.transform(tables.embedding_signals(spark, d), states.backward_smoother))
+
+
+@query(SIG)
+def rts_smoother(spark, d):
+    def smoothed(x):
+        found, _, spread = states.kalman(x)
+        return states.rts_smoother(found[:, None], spread[:, None, None], 1.0, 1e-5)[0][:, 0] if len(x) else x
+
+    return tables.to_samples(vectors.transform(tables.embedding_signals(spark, d), smoothed))
+
+
+@query("sid:l band:s idx:l v:d")
+def two_band_bank(spark, d):
+    s, taps = S(spark, d), filters.lowpass(31, 0.25, 1.0)
+    bands = {"low": taps, "high": filters.highpass(31, 0.25, 1.0)}
+    low, high = (signals.decimate(s, 2, [float(t) for t in h]).withColumn("band", F.lit(n)) for n, h in bands.items())
+    return low.unionByName(high)
+
+
+@query(SIG)
+def haar_rebuild(spark, d):
+    return signals.haar_synthesis(signals.haar_bank(S(spark, d)))
+
+
+@query("sid:l band:l idx:l v:d")
+def uniform_bank(spark, d):
+    return signals.uniform_bank(S(spark, d), 4, 31)
 
 
 @query(SIG)
@@ -397,6 +480,26 @@ def image_opening(spark, d):
     return images.opening(P(spark, d))
 
 
+@query(PX, _px("min", f"({_px('max', 'px')})"), "px")
+def image_closing(spark, d):
+    return images.closing(P(spark, d))
+
+
+@query(PX, _px("max", "px", 5), "px")
+def image_dilation(spark, d):
+    return images.dilate(P(spark, d), 5)
+
+
+@query(PX, _px("min", "px", 5), "px")
+def image_erosion(spark, d):
+    return images.erode(P(spark, d), 5)
+
+
+@query(PX, "select img, r, c, abs(v) / greatest(max(abs(v)) over (partition by img), 1e-9) as v from px", "px")
+def image_alpha(spark, d):
+    return images.alpha(P(spark, d))
+
+
 @query(PX, f"select a.img, a.r, a.c, a.v - b.v as v from ({_px('max', 'px')}) a join ({_px('min', 'px')}) b using (img, r, c)", "px")
 def image_edges(spark, d):
     return images.gradient(P(spark, d))

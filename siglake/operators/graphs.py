@@ -77,13 +77,12 @@ def block_normalize(nodes: DataFrame, mode: str = "layernorm", gamma: float = 1.
     """Over all nodes of a one-channel signal; with channels, per node (l2, layernorm) or per channel (batchnorm, zscore)."""
     if mode == "none":
         return nodes
-    by = Window.partitionBy(*([] if "ch" not in nodes.columns else ["i"] if mode in ("l2", "layernorm") else ["ch"]))
+    by = [] if "ch" not in nodes.columns else ["i"] if mode in ("l2", "layernorm") else ["ch"]
     keys = [c for c in nodes.columns if c != "v"]
-    if mode == "l2":
-        x = F.col("v") / F.greatest(F.sqrt(F.sum(F.col("v") * F.col("v")).over(by)), F.lit(eps))
-    else:
-        x = (F.col("v") - F.avg("v").over(by)) / F.greatest(F.stddev_pop("v").over(by), F.lit(eps))
-    return nodes.select(*keys, (x * gamma + beta).alias("v"))
+    length = [F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_spread"), F.lit(0.0).alias("_middle")]
+    sizes = nodes.groupBy(*by).agg(*(length if mode == "l2" else [F.stddev_pop("v").alias("_spread"), F.avg("v").alias("_middle")]))
+    both = nodes.join(sizes, by) if by else nodes.crossJoin(F.broadcast(sizes))  # without keys, sizes is one row
+    return both.select(*keys, ((F.col("v") - F.col("_middle")) / F.greatest("_spread", F.lit(eps)) * gamma + beta).alias("v"))
 
 
 def pool(nodes: DataFrame, factor: int = 2, mode: str = "mean") -> DataFrame:

@@ -49,23 +49,29 @@ def gradient(pixels: DataFrame, size: int = 3) -> DataFrame:
     return pair(dilate(pixels, size), erode(pixels, size), lambda a, b: a - b)
 
 
-def _near(pixels: DataFrame, size: int) -> DataFrame:
-    """Every pixel with the values around it, edges repeated: a value goes to each place that it, or its repetition, stands near."""
+def _along(pixels: DataFrame, line: str, at: str, size: int, frame) -> DataFrame:
+    """v replaced by frame(v, near, before, after), along the lines of an image: near is a window of `size` pixels, before and after say how often it repeats its line's first and last value."""
     half = odd_window(size, "kernel_size") // 2
-    sized = pixels.select("img", "r", "c", "v", F.max("r").over(image()).alias("rows"), F.max("c").over(image()).alias("cols"))
-    reach = F.sequence(F.lit(-half), F.lit(half))
-    offsets = sized.select("img", "r", "c", "rows", "cols", F.explode(reach).alias("dr")).select("*", F.explode(reach).alias("dc"))
-    places = offsets.select("img", "r", "c", F.least(F.greatest(F.col("r") + F.col("dr"), F.lit(0)), "rows").alias("rr"), F.least(F.greatest(F.col("c") + F.col("dc"), F.lit(0)), "cols").alias("cc"))
-    values = pixels.select("img", F.col("r").alias("rr"), F.col("c").alias("cc"), "v")
-    return places.join(values, ["img", "rr", "cc"])
+    order = Window.partitionBy("img", line).orderBy(at)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last, of = F.first("v").over(whole), F.last("v").over(whole), F.count(F.lit(1)).over(whole)
+    before = F.greatest(half - F.col(at), F.lit(0)).cast("int")
+    after = F.greatest(F.col(at) + half - (of - 1), F.lit(0)).cast("int")
+    return pixels.select("img", "r", "c", frame(order.rowsBetween(-half, half), first, last, before, after).alias("v"))
 
 
 def mean_filter(pixels: DataFrame, size: int = 5) -> DataFrame:
-    return _near(pixels, size).groupBy("img", "r", "c").agg(F.avg("v").alias("v"))
+    """Edges repeated. Separable: sums along rows, then along columns."""
+    total = lambda near, first, last, before, after: F.sum("v").over(near) + before * first + after * last
+    summed = _along(_along(pixels, "r", "c", size, total), "c", "r", size, total)
+    return summed.select("img", "r", "c", (F.col("v") / (size * size)).alias("v"))
 
 
 def median_filter(pixels: DataFrame, size: int = 3) -> DataFrame:
-    return _near(pixels, size).groupBy("img", "r", "c").agg(F.percentile("v", F.lit(0.5)).alias("v"))
+    """Edges repeated: the values near along rows, then those lists along columns."""
+    listed = lambda near, first, last, before, after: F.concat(F.array_repeat(first, before), F.collect_list("v").over(near), F.array_repeat(last, after))
+    near = _along(_along(pixels, "r", "c", size, listed), "c", "r", size, listed)
+    return near.select("img", "r", "c", F.get(F.sort_array(F.flatten("v")), F.lit(size * size // 2)).alias("v"))
 
 
 def background(pixels: DataFrame, size: int = 15, smooth: int = 5) -> DataFrame:

@@ -7,12 +7,14 @@ chained windows on one partitioning share it.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from siglake.errors import SignalValueError, odd_window, positive_int
+from siglake.functions import filters
 
 
 def whole() -> WindowSpec:
@@ -205,16 +207,16 @@ def gradient(samples: DataFrame, size: int = 3) -> DataFrame:
 
 
 def apply_fir(samples: DataFrame, taps: list[float]) -> DataFrame:
-    """Convolution, as long as the longer of both, centred. The taps are few and literal: a sample goes to all places it adds to."""
+    """Convolution, as long as the longer of both, centred: the lags of one window over the signal and the zeros after it."""
     if not taps:
         raise SignalValueError("a filter needs taps")
     k = len(taps)
-    of = F.count(F.lit(1)).over(whole())
+    sized = samples.select("sid", "idx", F.col("v").cast("double").alias("v"), F.count(F.lit(1)).over(whole()).alias("of"))
+    reach = F.when(F.col("idx") == F.col("of") - 1, F.sequence(F.lit(0), F.lit(k - 1))).otherwise(F.array(F.lit(0)))
+    longer = sized.withColumn("on", F.explode(reach)).select("sid", (F.col("idx") + F.col("on")).alias("idx"), F.when(F.col("on") == 0, F.col("v")).otherwise(0.0).alias("v"), "of")
+    value = sum((F.lit(float(t)) * F.lag("v", j, 0.0).over(ordered()) for j, t in enumerate(taps)), F.lit(0.0))
     start = F.floor((F.least("of", F.lit(k)) - 1) / 2).cast("int")
-    spread = samples.withColumn("of", of).select("sid", "idx", "v", "of", F.posexplode(F.array(*[F.lit(float(t)) for t in taps])).alias("k", "tap"))
-    at = (F.col("idx") + F.col("k") - start).cast("int")
-    placed = spread.select("sid", at.alias("idx"), (F.col("v") * F.col("tap")).alias("v"), F.greatest("of", F.lit(k)).alias("to")).where("idx >= 0 and idx < to")
-    return placed.groupBy("sid", "idx").agg(F.sum("v").alias("v"))
+    return longer.select("sid", (F.col("idx") - start).cast("int").alias("idx"), value.alias("v"), F.greatest("of", F.lit(k)).alias("to")).where("idx >= 0 and idx < to").select("sid", "idx", "v")
 
 
 def decimate(samples: DataFrame, factor: int, taps: list[float]) -> DataFrame:
@@ -234,6 +236,23 @@ def haar_bank(samples: DataFrame) -> DataFrame:
     return both.select("sid", F.expr("stack(2, 'low', low, 'high', high) as (band, v)"), F.expr("idx div 2").cast("int").alias("idx")).select("sid", "band", "idx", "v")
 
 
+def haar_synthesis(bands: DataFrame) -> DataFrame:
+    """samples from (sid, band, idx, v) of low and high; a band that ends first goes on with zeros."""
+    of = lambda band: F.coalesce(F.sum(F.when(F.col("band") == band, F.col("v"))), F.lit(0.0)).alias(band)
+    both = bands.groupBy("sid", "idx").agg(of("low"), of("high"))
+    pair = F.array(F.col("low") + F.col("high"), F.col("low") - F.col("high"))
+    return both.select("sid", "idx", F.posexplode(pair).alias("k", "v")).select("sid", (2 * F.col("idx") + F.col("k")).alias("idx"), (F.col("v") / math.sqrt(2)).alias("v"))
+
+
+def uniform_bank(samples: DataFrame, bands: int = 4, taps: int = 31) -> DataFrame:
+    """(sid, band, idx, v): bands of equal width, each brought to its own rate behind a second, shorter filter."""
+    positive_int(bands, "bands")
+    listed = lambda h: [float(t) for t in h]
+    guard = listed(filters.lowpass(max(15, taps // 2), 0.45 / bands, 1.0))
+    parts = [decimate(apply_fir(samples, listed(h)), bands, guard).withColumn("band", F.lit(k)) for k, h in enumerate(filters.uniform_taps(bands, taps))]
+    return reduce(DataFrame.unionByName, parts).select("sid", "band", "idx", "v")
+
+
 def amplitude_modulation(carrier: DataFrame, modulator: DataFrame) -> DataFrame:
     """Carrier times (1 + modulator), as long as the shorter."""
     m = modulator.select("sid", "idx", F.col("v").alias("m"))
@@ -247,11 +266,10 @@ def frequency_modulation(modulator: DataFrame, carrier_hz: float, sample_rate: f
 
 
 def autocorrelation(samples: DataFrame, max_lag: int, normalized: bool = True) -> DataFrame:
-    """(sid, lag, r) of the detrended signal for lags up to max_lag: an equality join for each lag, not a cross product."""
-    centred = detrend(samples)
-    later = centred.select("sid", F.col("idx").alias("at"), F.col("v").alias("w"))
-    lagged = centred.select("sid", "idx", "v", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")).withColumn("at", F.col("idx") + F.col("lag"))
-    sums = lagged.join(later, ["sid", "at"]).groupBy("sid", "lag").agg(F.sum(F.col("v") * F.col("w")).alias("r"))
+    """(sid, lag, r) of the detrended signal for lags up to max_lag: each sample meets those that follow it in one window frame."""
+    ahead = F.collect_list(F.struct("v")).over(ordered().rowsBetween(0, max_lag))
+    lagged = detrend(samples).select("sid", "v", ahead.alias("ahead")).select("sid", "v", F.posexplode("ahead").alias("lag", "w"))
+    sums = lagged.groupBy("sid", "lag").agg(F.sum(F.col("v") * F.col("w.v")).alias("r"))
     if not normalized:
         return sums
     zero = F.max(F.when(F.col("lag") == 0, F.col("r"))).over(whole())

@@ -408,10 +408,105 @@ _graph("graph_scattering")(lambda g: _heat(g, "abs({})"))
 # -- recursions ------------------------------------------------------------------------------------------------------------
 
 
-def biquad(b: list[float], a: list[float]) -> str:
-    b0, b1, b2, a1, a2 = (f"({v / a[0]!r})" for v in (*b, *a[1:]))
+def biquad(b: list, a: list) -> str:
+    """Of numbers, or of terms in SQL."""
+    term = lambda v: f"({v if isinstance(v, str) else repr(v)})::double"
+    b0, b1, b2, a1, a2 = (f"({term(v)} / {term(a[0])})" for v in (*b, *a[1:]))
     return f"""with recursive r as (
       select sid, idx, {b0} * v as y0, 0.0::double as y1, v as x1, 0.0::double as x2 from emb where idx = 0
       union all
       select e.sid, e.idx, {b0} * e.v + {b1} * r.x1 + {b2} * r.x2 - {a1} * r.y0 - {a2} * r.y1, r.y0, e.v, r.x1 from r join emb e on e.sid = r.sid and e.idx = r.idx + 1)
       select sid, idx, y0 as v from r"""
+
+
+def cookbook(kind: str, f: float, q: float) -> str:
+    """A second-order section, its coefficients worked out in SQL."""
+    c, s = f"cos(2 * pi() * {f})", f"(sin(2 * pi() * {f}) / (2 * {q!r}))"
+    b = {
+        "lowpass": [f"(1 - {c}) / 2", f"1 - {c}", f"(1 - {c}) / 2"],
+        "highpass": [f"(1 + {c}) / 2", f"-1 - {c}", f"(1 + {c}) / 2"],
+        "bandpass": [s, "0", f"-{s}"],
+        "notch": ["1", f"-2 * {c}", "1"],
+        "allpass": [f"1 - {s}", f"-2 * {c}", f"1 + {s}"],
+    }[kind]
+    return biquad(b, [f"1 + {s}", f"-2 * {c}", f"1 - {s}"])
+
+
+_Q = {"lowpass": math.sqrt(0.5), "highpass": math.sqrt(0.5), "bandpass": 1.0, "notch": 30.0, "allpass": 0.707}
+for _kind, _q in _Q.items():
+    TEXTS[f"biquad_{_kind}"] = cookbook(_kind, 0.1, _q), "emb"
+_POLE = "0.01 / (1 / (2 * pi() * 10) + 0.01)"  # 10 Hz at 100 samples a second
+TEXTS["single_pole_highpass"] = biquad([f"1 - {_POLE}", f"{_POLE} - 1", "0"], ["1", f"{_POLE} - 1", "0"]), "emb"
+TEXTS["leaky_integrator"] = biquad(["1", "0", "0"], ["1", "-0.9", "0"]), "emb"
+TEXTS["comb_feedforward"] = "select sid, idx, v + 0.5 * coalesce(lag(v, 3) over (partition by sid order by idx), 0) as v from emb", "emb"
+TEXTS["comb_feedback"] = "select e.sid, e.idx, sum(p.v * 0.5 ** k) as v from emb e, range(22) t(k), emb p where p.sid = e.sid and p.idx = e.idx - 3 * k group by 1, 2", "emb"
+TEXTS["backward_smoother"] = """with recursive r as (select sid, idx, v from emb where idx = 63 union all
+  select e.sid, e.idx, 0.3 * e.v + 0.7 * r.v from r join emb e on e.sid = r.sid and e.idx = r.idx - 1) select * from r""", "emb"
+_KALMAN = """gains(idx, g, p) as (select 0::bigint, 1.00001::double / 1.01001, 1.00001::double * (1 - 1.00001::double / 1.01001) union all
+    select idx + 1, (p + 0.00001) / (p + 0.01001), (p + 0.00001) * (1 - (p + 0.00001) / (p + 0.01001)) from gains where idx < 63),
+  xs(sid, idx, x) as (select sid, 0::bigint, v from emb where idx = 0 union all
+    select e.sid, e.idx, xs.x + g * (e.v - xs.x) from xs join emb e on e.sid = xs.sid and e.idx = xs.idx + 1 join gains on gains.idx = e.idx)"""
+TEXTS["rts_smoother"] = f"""with recursive {_KALMAN}, r(sid, idx, v) as (select sid, idx, x from xs where idx = 63 union all
+  select xs.sid, xs.idx, xs.x + p / (p + 0.00001) * (r.v - xs.x) from r join xs on xs.sid = r.sid and xs.idx = r.idx - 1 join gains on gains.idx = xs.idx) select * from r""", "emb"
+TEXTS["adaptive_lms"] = """with recursive d as (select a.sid, a.idx, a.v as d, b.v as r from emb a join emb b on b.sid = a.sid + 1 and b.idx = a.idx),
+  w(sid, idx, y, e, x0, x1, x2, w0, w1, w2) as (select sid, -1::bigint, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double from d where idx = 0 union all
+  select sid, idx, y, t - y, r, x0, x1, w0 + 0.1 * (t - y) * r, w1 + 0.1 * (t - y) * x0, w2 + 0.1 * (t - y) * x1
+  from (select d.sid, d.idx, d.d as t, d.r, x0, x1, w0, w1, w2, w0 * d.r + w1 * x0 + w2 * x1 as y from w join d on d.sid = w.sid and d.idx = w.idx + 1))
+  select sid, idx, y as output, e as error from w where idx >= 0""", "emb"
+
+
+# -- convolutions ----------------------------------------------------------------------------------------------------------
+
+
+def sinc(taps: int, low: float) -> str:
+    """(k, h): a low pass of unit gain under a Hamming window."""
+    x, m = f"(k - {(taps - 1) / 2})", taps - 1
+    return f"(select k, h / sum(h) over () as h from (select k, case when 2 * k = {m} then 2 * {low}::double else sin(2 * pi() * {low} * {x}) / (pi() * {x}) end * (0.54 - 0.46 * cos(2 * pi() * k / {m})) as h from range({taps}) t(k)))"
+
+
+def convolved(taps: str, source: str = "samples", every: int = 1) -> str:
+    """The middle of the convolution with taps (k, h), as long as the longer side; every so many places of it."""
+    return f"""select sid, p // {every} as idx, v from (with h as ({taps}), sized as (select *, count(*) over (partition by sid) as n from {source}), m as (select count(*) as m from h)
+      select x.sid, x.idx + k - (least(n, m) - 1) // 2 as p, sum(x.v * h) as v, any_value(greatest(n, m)) as len from sized x, h, m group by 1, 2) where p between 0 and len - 1 and p % {every} = 0"""
+
+
+def _minus(a: str, b: str) -> str:
+    return f"select a.k, a.h - b.h as h from {a} a join {b} b using (k)"
+
+
+def _whole(taps: int) -> str:
+    return f"(select k, case when k = {(taps - 1) // 2} then 1.0 else 0.0 end::double as h from range({taps}) t(k))"
+
+
+_BAND = _minus(sinc(9, 0.3), sinc(9, 0.1))
+TEXTS["fir_highpass"] = convolved(_minus(_whole(10), sinc(10, 0.2))), "samples"
+TEXTS["fir_bandpass"] = convolved(_BAND), "samples"
+TEXTS["fir_bandstop"] = convolved(_minus(_whole(9), f"({_BAND})")), "samples"
+TEXTS["fractional_delay"] = convolved("select k, h / sum(h) over () as h from (select k, sin(pi() * (k - 4.3)) / (pi() * (k - 4.3)) * (0.54 - 0.46 * cos(2 * pi() * k / 8)) as h from range(9) t(k))"), "samples"
+TEXTS["differentiator"] = convolved("select * from (values (0, -0.5::double), (1, 0.0), (2, 0.5)) v(k, h)"), "samples"
+TEXTS["savitzky_golay"] = convolved("select k, h / 35 as h from (values (0, -3.0::double), (1, 12), (2, 17), (3, 12), (4, -3)) v(k, h)"), "samples"
+TEXTS["savitzky_golay_slope"] = convolved("select k, (k - 2) / 10.0::double as h from range(5) t(k)"), "samples"
+_LOW = sinc(31, 0.25)
+TEXTS["two_band_bank"] = f"select sid, 'low' as band, idx, v from ({convolved(f'select * from {_LOW}', every=2)}) union all select sid, 'high', idx, v from ({convolved(_minus(_whole(31), _LOW), every=2)})", "samples"
+_EDGES = (0.125, 0.25, 0.375, 0.499)
+
+
+def _band(k: int) -> str:
+    return convolved(_minus(sinc(31, _EDGES[k]), sinc(31, _EDGES[k - 1])) if k else f"select * from {sinc(31, _EDGES[0])}")
+
+
+TEXTS["uniform_bank"] = " union all ".join(f"select sid, {k} as band, idx, v from ({convolved(f'select * from {sinc(15, 0.1125)}', f'({_band(k)})', 4)})" for k in range(4)), "samples"
+
+
+# sum and difference of x[2i] and x[2i - 1] give them back, in places 2i and 2i + 1
+TEXTS["haar_rebuild"] = """with p as (select sid, idx, v, coalesce(lag(v) over (partition by sid order by idx), 0) as b from samples)
+  select sid, idx + z as idx, case when z = 0 then v else b end as v from p, range(2) t(z) where idx % 2 = 0""", "samples"
+
+
+# -- detection -------------------------------------------------------------------------------------------------------------
+
+TEXTS["spaced_peaks"] = """with recursive near as (select *, lag(v) over w as a, lead(v) over w as b from samples window w as (partition by sid order by idx)),
+  p as (select sid, idx, v, row_number() over (partition by sid order by idx) as m from near where v > a and v >= b and v >= 0),
+  s(sid, m, g, idx, v) as (select sid, m, 1, idx, v from p where m = 1 union all
+  select p.sid, p.m, s.g + case when p.idx - s.idx >= 4 then 1 else 0 end, case when p.idx - s.idx >= 4 or p.v > s.v then p.idx else s.idx end, case when p.idx - s.idx >= 4 or p.v > s.v then p.v else s.v end
+  from s join p on p.sid = s.sid and p.m = s.m + 1) select sid, arg_max(idx, m) as idx, arg_max(v, m) as v from s group by sid, g""", "samples"
