@@ -29,6 +29,7 @@ _PRELUDE = {
     "samples": "samples as (select user_id as sid, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, value as v from events)",
     "emb": "emb as (select vec_id as sid, unnest(range(len(embedding))) as idx, unnest(embedding)::double as v from embeddings)",
     "px": "px as (select vec_id as img, unnest(range(len(embedding))) // 8 as r, unnest(range(len(embedding))) % 8 as c, unnest(embedding)::double as v from embeddings)",
+    "bright": "px as (select vec_id as img, unnest(range(len(embedding))) // 8 as r, unnest(range(len(embedding))) % 8 as c, unnest(embedding)::double + 1 as v from embeddings)",
     "edges": """pairs as (select least(c_nationkey, s_nationkey) as a, greatest(c_nationkey, s_nationkey) as b, count(*)::double as w from lineitem join orders on l_orderkey = o_orderkey
       join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by all),
       edges as (select a as i, b as j, w from pairs union all select b, a, w from pairs),
@@ -407,11 +408,24 @@ def fft_bandpass(spark, d):
     return tables.to_samples(vectors.bandpass(tables.embedding_signals(spark, d), 64.0, 4.0, 16.0))
 
 
-@query("sid:l frame:l bin:l magnitude:d", "with w as (select sid, frame, n, v * (0.5 - 0.5 * cos(2 * pi() * n / 31)) as v from (select sid, frame, idx - frame * 16 as n, v from emb, range(3) t(frame)) where n between 0 and 31) select sid, frame, bin, sqrt(sum(v * cos(2 * pi() * bin * n / 32)) ** 2 + sum(v * sin(2 * pi() * bin * n / 32)) ** 2) as magnitude from w, range(17) t(bin) group by 1, 2, 3", "emb")
+_STFT = "with w as (select sid, frame, n, v * (0.5 - 0.5 * cos(2 * pi() * n / 31)) as v from (select sid, frame, idx - frame * 16 as n, v from emb, range(3) t(frame)) where n between 0 and 31) select sid, frame, bin, sqrt(sum(v * cos(2 * pi() * bin * n / 32)) ** 2 + sum(v * sin(2 * pi() * bin * n / 32)) ** 2) as magnitude from w, range(17) t(bin) group by 1, 2, 3"
+
+
+@query("sid:l frame:l bin:l magnitude:d", _STFT, "emb")
 def stft(spark, d):
     return vectors.stft(tables.embedding_signals(spark, d), 32, 16)
 
 
+@query("sid:l frame:l bin:l level:d", f"select sid, frame, bin, 20 * log10(greatest(magnitude, 1e-12)) as level from ({_STFT})", "emb")
+def spectrogram(spark, d):
+    return vectors.spectrogram(tables.embedding_signals(spark, d), 32, 16)
+
+
+@query("sid:l bin:l power:d", f"with {_DFT} select sid, bin, re * re + im * im as power from spec", "emb")
+def power_spectrum(spark, d):
+    return signals.power_spectrum(signals.dft(E(spark, d), 64))
+
+
 def _document_bytes(spark, d):
     return tables.table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
 
@@ -535,7 +549,25 @@ def image_otsu(spark, d):
     return images.otsu(P(spark, d))
 
 
-@query("img:l r:l c:l gray:d background:d illumination:d raw_foreground:d reflections:d shadow:d specular:d ink:d stroke:d denoised:d edges:d foreground:d noise:d texture:d")
+_LAYERS = f"""with {_GROUND}, {_OTSU.format('front')}, light as ({_px_near('avg', 'px', 5)}), calm as ({_px_near('median', 'px', 3)}), high as ({_px('max', 'px')}), low as ({_px('min', 'px')}),
+  l as (select px.img, px.r, px.c, px.v as gray, ground.v as background, light.v as illumination, front.v as raw, case when px.v >= quantile_cont(px.v, 0.98) over w then 1.0 else 0.0 end as reflections, px.v / greatest(light.v, 1e-9) as ratio,
+    case when t >= coalesce(threshold, 0) then 1.0 else 0.0 end as ink, calm.v as denoised, high.v - low.v as edges
+    from px join ground using (img, r, c) join front using (img, r, c) join light using (img, r, c) join calm using (img, r, c) join high using (img, r, c) join low using (img, r, c) join bytes using (img, r, c) left join best using (img) window w as (partition by px.img))
+  select img, r, c, gray, background, illumination, raw as raw_foreground, reflections, case when 1 - ratio >= 0.08 then 1 - ratio else 0 end as shadow, greatest(ratio - quantile_cont(ratio, 0.99) over (partition by img), 0) as specular,
+    ink, raw * ink as stroke, denoised, edges, raw * (1 - reflections) * greatest(ink, 1e-9) as foreground, gray - denoised as noise, gray - background as texture from l"""
+
+
+_LAYER_COLUMNS = "img:l r:l c:l gray:d background:d illumination:d raw_foreground:d reflections:d shadow:d specular:d ink:d stroke:d denoised:d edges:d foreground:d noise:d texture:d"
+
+
+@query(_LAYER_COLUMNS, _LAYERS, "bright")
+def image_layers_bright(spark, d):
+    """Of values above zero, as those of pictures are."""
+    return images.layers(P(spark, d).withColumn("v", F.col("v") + 1), 5, 3, 5)
+
+
+# here illumination is often below zero, and ratios to its least value of 1e-9 have no sixth place that two sums agree on
+@query(_LAYER_COLUMNS)
 def image_layers(spark, d):
     return images.layers(P(spark, d), 5, 3, 5)
 

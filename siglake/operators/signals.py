@@ -293,6 +293,10 @@ def dft(samples: DataFrame, size: int, bins: int | None = None) -> DataFrame:
     return sums.withColumn("magnitude", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
 
 
+def power_spectrum(spectrum: DataFrame) -> DataFrame:
+    return spectrum.select("sid", "bin", (F.col("magnitude") * F.col("magnitude")).alias("power"))
+
+
 def dominant_bins(spectrum: DataFrame, top: int = 8) -> DataFrame:
     """By rounded magnitude; the lower of equal bins first."""
     order = Window.partitionBy("sid").orderBy(F.round("magnitude", 6).desc(), "bin")

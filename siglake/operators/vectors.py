@@ -93,6 +93,12 @@ def stft(signals: DataFrame, size: int = 256, hop: int = 128, window: str = "han
     return signals.select("sid", F.posexplode(m).alias("frame", "row")).select("sid", "frame", F.posexplode("row").alias("bin", "magnitude"))
 
 
+def spectrogram(signals: DataFrame, size: int = 256, hop: int = 128, window: str = "hann", log: bool = True) -> DataFrame:
+    """(sid, frame, bin, level): magnitudes, in decibels unless log is false."""
+    level = 20 * F.log10(F.greatest("magnitude", F.lit(1e-12))) if log else F.col("magnitude")
+    return stft(signals, size, hop, window).select("sid", "frame", "bin", level.alias("level"))
+
+
 SIGNATURE = (
     "sample_count long, frame_count long, mean_frame_rms double, mean_frame_zcr double, mean_frame_variance double, dominant_bins array<struct<bin:long,magnitude:double>>, spectral_energy double, "
     "spectral_flatness double, event_count long, peak_count long, first_derivative_energy double, second_derivative_energy double"

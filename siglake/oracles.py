@@ -455,6 +455,14 @@ TEXTS["adaptive_lms"] = """with recursive d as (select a.sid, a.idx, a.v as d, b
   select sid, idx, y as output, e as error from w where idx >= 0""", "emb"
 
 
+_LOCAL = """near as (select s.sid, s.idx, any_value(s.v) as v, avg(t.v) as m, var_pop(t.v) as s2 from emb s, range(-2, 3) o(k), emb t
+  where t.sid = s.sid and t.idx = case when s.idx + k > 63 then 126 - s.idx - k else abs(s.idx + k) end group by 1, 2)"""
+TEXTS["wiener_filter"] = f"with {_LOCAL} select sid, idx, m + greatest(s2 - noise, 0) / greatest(s2, 1e-12) * (v - m) as v from (select *, avg(s2) over (partition by sid) as noise from near)", "emb"
+TEXTS["adaptive_wiener"] = f"""with recursive {_LOCAL}, r(sid, idx, noise) as (select sid, -1::bigint, var_pop(v) from emb group by sid union all
+  select r.sid, near.idx, 0.9 * noise + 0.1 * s2 from r join near on near.sid = r.sid and near.idx = r.idx + 1)
+  select sid, idx, m + greatest(s2 - noise, 0) / greatest(s2, 1e-12) * (v - m) as v from near join r using (sid, idx)""", "emb"
+
+
 # -- convolutions ----------------------------------------------------------------------------------------------------------
 
 
