@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from siglake import oracles
 from siglake.functions import complex_tf, filters, graph_nets, states
-from siglake.operators import bits, graphs, images, signals, vectors, volumes
-from siglake.plans import report
+from siglake.operators import bits, families, graphs, images, signals, vectors, volumes
+from siglake.plans import bundle, report
 from siglake.sources import tables
 from siglake.sources.files import signed
 
@@ -800,10 +800,13 @@ def forensic_analysis(spark, d):
     return report.forensic(_events(spark, d), "network_telemetry", "case", "key")
 
 
+@query("sid:l source_type:s size_bytes:l steps:l events:l algorithm:s", "select user_id as sid, 'in_memory_signal' as source_type, 8 * count(*) as size_bytes, 2 as steps, 3 as events, 'HMAC-SHA256' as algorithm from events group by 1")
+def forensic_bundles(spark, d):
+    rows = bundle.bundles(_events(spark, d), "network_telemetry", case_id="case", key="key")
+    return rows.select("sid", "manifest.source_type", "manifest.size_bytes", F.size("audit_trail").alias("steps"), F.size("chain_of_custody.events").alias("events"), "report_signature.algorithm")
+
+
 @query("sid:l cluster:l")
 def learned_clusters(spark, d):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = tables.embedding_signals(spark, d).select("sid", array_to_vector("samples").alias("features"))
-    return KMeans(k=3, seed=7).fit(rows).transform(rows).select("sid", F.col("prediction").alias("cluster"))
+    rows = tables.embedding_signals(spark, d).select("sid", F.col("samples").alias("vector"))
+    return families.assign(families.fit(rows), rows)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siglake.functions import analysis
@@ -31,10 +31,15 @@ def _report(x: np.ndarray, rate: float, size: int, hop: int) -> dict:
     }
 
 
+def sections(rate: float, size: int, hop: int) -> tuple[Column, Column]:
+    """The report and the layers of `samples` as two structs."""
+    report = struct_function(lambda x: _report(x, rate, size, hop), REPORT)("samples")
+    return report, struct_function(lambda x: analysis.layered(analysis.prepared(x)), LAYERS)("samples")
+
+
 def analyze(signals: DataFrame, rate: float = 44100, size: int = 256, hop: int = 128) -> DataFrame:
     """signals(sid, samples) to (sid, sections of the report, layers)."""
-    report = struct_function(lambda x: _report(x, rate, size, hop), REPORT)("samples")
-    layers = struct_function(lambda x: analysis.layered(analysis.prepared(x)), LAYERS)("samples")
+    report, layers = sections(rate, size, hop)
     return signals.select("sid", report.alias("r"), layers.alias("layers")).select("sid", "r.*", "layers")
 
 

@@ -159,14 +159,14 @@ def profile(name: str) -> dict:
 
 
 def canonical(payload) -> bytes:
-    return json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=True, default=str).encode()
+    return json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str).encode()
 
 
 def sign(payload, key: bytes | str | None = None) -> dict:
     """HMAC of the canonical JSON, or its plain hash without a key."""
     body = canonical(payload)
     if key is None:
-        return {"algorithm": "SHA256", "signature": hashlib.sha256(body).hexdigest()}
+        return {"algorithm": "SHA256-DIGEST", "signature": hashlib.sha256(body).hexdigest()}
     return {"algorithm": "HMAC-SHA256", "signature": hmac.new(key.encode() if isinstance(key, str) else key, body, hashlib.sha256).hexdigest()}
 
 

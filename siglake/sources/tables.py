@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +57,11 @@ def nation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nodes(i, v): a nation's mean account balance in thousands."""
     rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal")
     return rows.groupBy(F.col("c_nationkey").alias("i")).agg((F.avg("c_acctbal") / 1000).alias("v"))
+
+
+def demo_signal(spark: SparkSession, rate: int = 2000, seconds: float = 1.5) -> DataFrame:
+    """signals(sid, samples) with one signal: tones of 120 and 280 Hz, noise of a fixed seed, and a step from sample 400 to 429."""
+    at = np.arange(int(rate * seconds))
+    tones = [(0.7, 120), (0.25, 280)]
+    x = sum(level * np.sin(2 * np.pi * hz * at / rate) for level, hz in tones) + 0.08 * np.random.default_rng(42).normal(size=len(at))
+    return spark.createDataFrame([("demo", (x + 0.7 * ((at >= 400) & (at < 430))).tolist())], "sid string, samples array<double>")
