@@ -7,7 +7,6 @@ chained windows on one partitioning share it.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -206,17 +205,27 @@ def gradient(samples: DataFrame, size: int = 3) -> DataFrame:
     return _with(samples, F.max("v").over(near) - F.min("v").over(near))
 
 
-def apply_fir(samples: DataFrame, taps: list[float]) -> DataFrame:
-    """Convolution, as long as the longer of both, centred: the lags of one window over the signal and the zeros after it."""
-    if not taps:
+def _filtered(samples: DataFrame, chains: list[list[list[float]]]) -> DataFrame:
+    """(sid, idx, v0, v1, ...): by each chain, filters one after the other, of the same lengths in all chains. Convolutions as long as the longer of both, centred: the lags of one order over the signal and the zeros after it, so one sort does for all."""
+    lengths = [len(taps) for taps in chains[0]]
+    if not all(lengths):
         raise SignalValueError("a filter needs taps")
-    k = len(taps)
     sized = samples.select("sid", "idx", F.col("v").cast("double").alias("v"), F.count(F.lit(1)).over(whole()).alias("of"))
-    reach = F.when(F.col("idx") == F.col("of") - 1, F.sequence(F.lit(0), F.lit(k - 1))).otherwise(F.array(F.lit(0)))
-    longer = sized.withColumn("on", F.explode(reach)).select("sid", (F.col("idx") + F.col("on")).alias("idx"), F.when(F.col("on") == 0, F.col("v")).otherwise(0.0).alias("v"), "of")
-    value = sum((F.lit(float(t)) * F.lag("v", j, 0.0).over(ordered()) for j, t in enumerate(taps)), F.lit(0.0))
-    start = F.floor((F.least("of", F.lit(k)) - 1) / 2).cast("int")
-    return longer.select("sid", (F.col("idx") - start).cast("int").alias("idx"), value.alias("v"), F.greatest("of", F.lit(k)).alias("to")).where("idx >= 0 and idx < to").select("sid", "idx", "v")
+    reach = F.when(F.col("idx") == F.col("of") - 1, F.sequence(F.lit(0), F.lit(sum(lengths) - len(lengths)))).otherwise(F.array(F.lit(0)))
+    now = sized.withColumn("on", F.explode(reach)).select("sid", (F.col("idx") + F.col("on")).alias("at"), F.when(F.col("on") == 0, F.col("v")).otherwise(0.0).alias("v"), "of")
+    names, order = [f"v{i}" for i in range(len(chains))], Window.partitionBy("sid").orderBy("at")
+    place, to = F.col("at"), F.col("of")  # in the signal so far, and how long it is
+    for stage, k in enumerate(lengths):
+        source = names if stage else ["v"] * len(chains)
+        if stage:
+            now = now.select("sid", "at", "of", *[F.when((place >= 0) & (place < to), F.col(x)).otherwise(0.0).alias(x) for x in names])
+        now = now.select("sid", "at", "of", *[sum((F.lit(float(t)) * F.lag(x, j, 0.0).over(order) for j, t in enumerate(chain[stage])), F.lit(0.0)).alias(n) for n, x, chain in zip(names, source, chains, strict=True)])
+        place, to = place - F.floor((F.least(to, F.lit(k)) - 1) / 2), F.greatest(to, F.lit(k))
+    return now.select("sid", place.cast("int").alias("idx"), *names, to.alias("to")).where("idx >= 0 and idx < to").drop("to")
+
+
+def apply_fir(samples: DataFrame, taps: list[float]) -> DataFrame:
+    return _filtered(samples, [[taps]]).select("sid", "idx", F.col("v0").alias("v"))
 
 
 def decimate(samples: DataFrame, factor: int, taps: list[float]) -> DataFrame:
@@ -244,13 +253,19 @@ def haar_synthesis(bands: DataFrame) -> DataFrame:
     return both.select("sid", "idx", F.posexplode(pair).alias("k", "v")).select("sid", (2 * F.col("idx") + F.col("k")).alias("idx"), (F.col("v") / math.sqrt(2)).alias("v"))
 
 
+def bank(samples: DataFrame, bands: dict[int | str, list[list[float]]], factor: int) -> DataFrame:
+    """(sid, band, idx, v): every so many samples behind each band's filters, which have the same lengths in all bands."""
+    places = _filtered(samples, list(bands.values())).where(F.col("idx") % factor == 0)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"v{i}").alias("v")) for i, k in enumerate(bands)])).alias("x")
+    return places.select("sid", F.expr(f"idx div {factor}").cast("int").alias("idx"), each).select("sid", "x.band", "idx", "x.v")
+
+
 def uniform_bank(samples: DataFrame, bands: int = 4, taps: int = 31) -> DataFrame:
     """(sid, band, idx, v): bands of equal width, each brought to its own rate behind a second, shorter filter."""
     positive_int(bands, "bands")
     listed = lambda h: [float(t) for t in h]
     guard = listed(filters.lowpass(max(15, taps // 2), 0.45 / bands, 1.0))
-    parts = [decimate(apply_fir(samples, listed(h)), bands, guard).withColumn("band", F.lit(k)) for k, h in enumerate(filters.uniform_taps(bands, taps))]
-    return reduce(DataFrame.unionByName, parts).select("sid", "band", "idx", "v")
+    return bank(samples, {k: [listed(h), guard] for k, h in enumerate(filters.uniform_taps(bands, taps))}, bands)
 
 
 def amplitude_modulation(carrier: DataFrame, modulator: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """samples(sid, idx, v): the values of a user in order of time."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    return rows.select(F.col("user_id").alias("sid"), (F.row_number().over(order) - 1).alias("idx"), F.col("value").alias("v"))
+    order = Window.partitionBy("sid").orderBy("ts", "event_id")  # by the name that is kept, so that later windows need no exchange
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("sid"), "ts", "event_id", F.col("value").alias("v"))
+    return rows.select("sid", (F.row_number().over(order) - 1).alias("idx"), "v")
 
 
 def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
